@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ledger, shards
+from . import chat, ledger, shards, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_chat_formatting, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_sharding, op4_chat_formatting, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
