@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ledger, shards, toxicity
+from . import chat, ledger, minhash, shards, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.linked(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_chat_formatting, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op2_sharding, op4_chat_formatting, op8_minhash_near_dedup, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE_SQL, "op9_quality_rules": ledger.ORACLE_SQL}
+    return {"op4_chat_formatting": chat.ORACLE_SQL, "op8_minhash_near_dedup": minhash.ORACLE_SQL, "op9_quality_rules": ledger.ORACLE_SQL}
