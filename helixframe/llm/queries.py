@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ledger, minhash, shards, toxicity
+from . import chat, ledger, minhash, secrets_cnn, shards, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.linked(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_cnn.scanned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_chat_formatting, op8_minhash_near_dedup, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op2_sharding, op4_chat_formatting, op6_secret_scans, op8_minhash_near_dedup, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
