@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ledger, minhash, secrets_cnn, shards, token_files, toxicity
+from . import chat, ledger, minhash, secrets_cnn, shards, templates, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted_conversations(table(spark, sf_dir, "conversations")))
 
@@ -44,7 +48,7 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_sharding, op4_chat_formatting, op6_secret_scans, op8_minhash_near_dedup, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_files, op2_sharding, op3_benchmark_decontamination, op4_chat_formatting, op6_secret_scans, op8_minhash_near_dedup, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
