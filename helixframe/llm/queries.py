@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ledger, minhash, pieces, secrets_cnn, shards, templates, token_files, toxicity
+from . import chat, ledger, minhash, phrases, pieces, secrets_cnn, shards, templates, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,13 +49,17 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.linked(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_cnn.scanned(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_sharding, op3_benchmark_decontamination, op4_chat_formatting, op6_secret_scans, op7_sentencepiece, op8_minhash_near_dedup, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_files, op2_sharding, op3_benchmark_decontamination, op4_chat_formatting, op5_substring_dedup, op6_secret_scans, op7_sentencepiece, op8_minhash_near_dedup, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE_SQL, "op8_minhash_near_dedup": minhash.ORACLE_SQL, "op9_quality_rules": ledger.ORACLE_SQL}
+    return {"op4_chat_formatting": chat.ORACLE_SQL, "op5_substring_dedup": phrases.ORACLE_SQL, "op8_minhash_near_dedup": minhash.ORACLE_SQL, "op9_quality_rules": ledger.ORACLE_SQL}

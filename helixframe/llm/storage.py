@@ -7,6 +7,7 @@ folder below the machine's temporary directory is used.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,3 +52,9 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of one Arrow batch, so that long texts do not pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished stages, which it does once their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
