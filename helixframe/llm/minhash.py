@@ -13,9 +13,11 @@ distinct five-word shingles (the whole sequence if it has fewer words).
 3. Each bucket sends a star of edges from its least member to the others, so the
    number of candidate pairs is bounded by the number of bucket rows.
 4. Candidates are confirmed on the full sets: 100 * common >= 75 * union.
-5. The exact rest: in a bucket whose members are not yet in one component, pairs
-   across components that were not tested are tested too, so a star whose centre
-   is not similar to two similar members loses no link.
+5. The exact rest: a star whose centre is not similar to two similar members must
+   lose no link.  Members of one star in different components are compared by
+   what they add to the centre: only pairs that can meet the threshold, by the
+   sizes of their overlaps with the centre and of their common additions, are
+   tested too (``untested``).
 6. Components by minimum labels with pointer jumping.
 
 Every shuffle key with many rows meets either a combinable aggregate or a join
@@ -34,10 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import dropped, small_batches, stored
+from .storage import dropped, released, small_batches, stored
 from .words import filled, mixed, text_slices, windows, words_of
 
 SHINGLE = 5
@@ -130,29 +132,89 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_sketched, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, text_a, text_b) whose full sets are similar enough."""
+def _set_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Batches of pairs (a, b, text_a, text_b) with the full sets of both; equal neighbours of ``a`` are hashed once."""
     last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
     for batch in text_slices(batches, "text_b", 2 << 20):
-        a = batch.column("a").to_pylist()
         rows, values = shingles(batch.column("text_b"))
         bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-        good = []
-        for i, hub in enumerate(a):
+        sets = []
+        for i, hub in enumerate(batch.column("a").to_pylist()):
             if last[0] != hub:
                 last = (hub, shingles(batch.column("text_a").slice(i, 1))[1])
-            own = values[bounds[i] : bounds[i + 1]]
-            common = int(np.isin(own, last[1], assume_unique=True).sum()) if min(len(own), len(last[1])) * 100 >= PERCENT * max(len(own), len(last[1])) else 0
-            good.append(100 * common >= PERCENT * (len(own) + len(last[1]) - common) and common > 0)
-        yield batch.select(["a", "b"]).filter(pa.array(good))
+            sets.append((last[1], values[bounds[i] : bounds[i + 1]]))
+        yield batch, sets
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of linked documents."""
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, n_a, n_b, common of each pair."""
+    for batch, sets in _set_pairs(batches):
+        counts = [(len(x), len(y), int(np.isin(y, x, assume_unique=True).sum())) for x, y in sets]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3))], names=["a", "b", "n_a", "n_b", "common"]
+        )
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, s: the shingles of b that a lacks."""
+    for batch, sets in _set_pairs(batches):
+        own = [y[~np.isin(y, x, assume_unique=True)] for x, y in sets]
+        times = pa.array(np.repeat(np.arange(len(own)), [len(o) for o in own]))
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(times), batch.column("b").take(times), pa.array(np.concatenate(own).view(np.int64))], names=["a", "b", "s"])
+
+
+LINKED = f"common > 0 AND 100 * common >= {PERCENT} * (n_a + n_b - common)"
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(second, "b").join(first, "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long")
+    return pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
+
+
+def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of both sets and of their intersection."""
+    return _with_texts(pairs, texts).mapInArrow(_measured, "a long, b long, n_a long, n_b long, common long")
+
+
+def untested(star: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one hub, in different components, that can be linked at all.
+
+    ``star`` has the measured pairs of each hub with its members.  Two members x
+    and y share at most what both share with the hub and what both add to it, so
+    they can only be linked if
+
+    * the hub's part alone suffices: 7 * least(common_x, common_y) >= 3 * (n_x + n_y), or
+    * they add a common shingle, and with all of those the bound holds
+
+    (100 * common >= 75 * union is 7 * common >= 3 * (n_x + n_y)).  Both joins
+    leave out what cannot meet the bound, so copies with edits of their own make
+    no pairs; nothing that meets it is left out.
+    """
+    placed = star.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "b", "n_b", "common", F.coalesce("component", "b").alias("component"))
+    # The hub's own component counts too: it decides whether its members are still apart.
+    hub = labels.select(F.col("node").alias("a"), F.col("component").alias("hub_component"))
+    placed = placed.join(hub, "a", "left").withColumn("hub_component", F.coalesce("hub_component", "a"))
+    apart = placed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_b").alias("least_n"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 1")
+    spare, fits = F.expr("7 * common - 3 * n_b"), F.expr("7 * least(x.common, y.common) >= 3 * (x.n_b + y.n_b)")
+    members = stored(placed.join(apart.select("a", "least_n"), "a"), "minhash-apart")
+    able = members.where(spare >= 3 * F.col("least_n"))
+    outside = able.where("component <> hub_component").alias("x")
+    by_hub = outside.join(able.alias("y"), "a").where((F.col("x.component") != F.col("y.component")) & fits).select(F.col("x.b").alias("x"), F.col("y.b").alias("y"))
+
+    added = stored(_with_texts(members, texts).mapInArrow(_added, "a long, b long, s long"), "minhash-added")
+    tagged = added.join(members.select("a", "b", "component"), ["a", "b"])
+    split = tagged.groupBy("a", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a", "s")
+    shared = added.join(split, ["a", "s"], "left_semi").join(members, ["a", "b"])
+    left, right = shared.where("component <> hub_component").alias("x"), shared.alias("y")
+    # A member counts from the side outside the hub's component; two outside members meet once, by component.
+    once = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.hub_component")) | (F.col("x.component") < F.col("y.component")))
+    met = left.join(right, (F.col("x.a") == F.col("y.a")) & (F.col("x.s") == F.col("y.s")) & once)
+    by_added = met.groupBy(F.col("x.a").alias("h"), F.col("x.b").alias("x"), F.col("y.b").alias("y")).agg(
+        F.count(F.lit(1)).alias("shared"), F.first(F.expr("least(x.common, y.common)")).alias("through"), F.first(F.expr("x.n_b + y.n_b")).alias("sizes")
+    )
+    by_added = by_added.where("7 * (through + shared) >= 3 * sizes").select("x", "y")
+    return by_hub.union(by_added).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -189,25 +251,16 @@ def linked(docs: DataFrame) -> DataFrame:
     shared = stored(rows.join(hubs, "bucket"), "minhash-shared")
     star = stored(shared.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-star")
     texts = stored(named.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
-    links = stored(confirmed(star, texts), "minhash-links")
-    dropped(spark, rows)
-
-    # The exact rest: members of one bucket in different components that were not tested.
+    star = stored(measured(star, texts), "minhash-measured")
+    dropped(spark, rows, shared)
+    released(spark)
+    links = star.where(LINKED).select("a", "b")
     labels = components(links, "minhash-first")
-    placed = shared.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "hub", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = stored(placed, "minhash-placed")
-    mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    # A bucket's main component is its largest; every other member meets all members of other components.
-    sizes = placed.join(mixed_buckets, "bucket", "left_semi").groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    open_ = placed.join(main, "bucket")
-    centres = open_.where("component <> main").select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    rest = centres.join(open_.select("bucket", F.col("rep").alias("y"), F.col("component").alias("cy")), "bucket").where("cx <> cy")
-    pairs = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = stored(pairs.join(star, ["a", "b"], "left_anti"), "minhash-rest")
-    more = stored(confirmed(pairs, texts), "minhash-more")
-    dropped(spark, texts, placed, shared, star, pairs)
-    labels = components(links.union(more), "minhash-all")
+    # The exact rest: members of one bucket that the star has left in different components.
+    pairs = stored(untested(star, labels, texts).join(star.select("a", "b"), ["a", "b"], "left_anti"), "minhash-rest")
+    more = measured(pairs, texts).where(LINKED).select("a", "b")
+    labels = components(links.union(stored(more, "minhash-more")), "minhash-all")
+    dropped(spark, texts, star, pairs)
 
     of_class = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of_class = of_class.select(*key, F.coalesce("component", "rep").alias("component_id"))
