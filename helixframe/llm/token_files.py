@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import dropped, shared_path, small_batches, stored
-from .wordcache import WordCache
+from .wordcache import WordCache, ragged
 from .words import text_slices, words_of
 
 END = 2
@@ -52,6 +52,8 @@ MAGIC = b"HXT1"
 
 # --- encoding texts ------------------------------------------------------------
 
+#: Marks that never join letters in one pre-token.
+_STOPS = ".,;:!?%*&$#|"
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
@@ -73,8 +75,7 @@ class Encoder:
 
     No token crosses white space, so words are encoded one by one and
     remembered.  A word of Latin letters is one pre-token and goes straight to
-    the model; a trailing run of ``.`` or ``,`` after a letter is a pre-token of
-    its own; all others take the whole pipeline.
+    the model; a trailing run of stops after a letter is a pre-token of its own; all others take the whole pipeline.
     """
 
     def __init__(self, path: str):
@@ -82,7 +83,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cache = WordCache(self._encode)
+        self.words, self.parts = WordCache(self._split), WordCache(self._encode)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def _encode(self, words: list[str]) -> list[list[int]]:
@@ -102,33 +103,32 @@ class Encoder:
                 out[i] = e.ids
         return out
 
+    def _split(self, words: list[str]) -> list[bytes]:
+        """Ids of words through their parts: the word in lower case, and a run of stops after a letter."""
+        parts: dict[str, int] = {}
+        places = []
+        for word in words:
+            core = word.rstrip(_STOPS)
+            tail = -1
+            if core and core != word and core[-1].isalpha():
+                tail = parts.setdefault(word[len(core) :], len(parts))
+                word = core
+            if _LETTERS.fullmatch(word):
+                word = word.lower()
+            places.append((parts.setdefault(word, len(parts)), tail))
+        ids = self.parts.ids(list(parts))
+        return [ids[a] if b < 0 else ids[a] + ids[b] for a, b in places]
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``END`` after each text, and the number of ids of each text."""
         w = words_of(texts)
-        # Parts of each distinct word: the word, and a run of stops after a letter.
-        parts: dict[str, int] = {}
-        first, second = np.zeros(len(w.distinct), np.int64), np.full(len(w.distinct), -1, np.int64)
-        for i, word in enumerate(w.distinct.to_pylist()):
-            if word.isascii():
-                core = word.rstrip(".,")
-                if core and core != word and core[-1].isalpha():
-                    second[i] = parts.setdefault(word[len(core) :], len(parts))
-                    word = core
-                if word.isalpha():
-                    word = word.lower()
-            first[i] = parts.setdefault(word, len(parts))
-        tail = second >= 0
-        both = np.stack([first, np.where(tail, second, 0)], axis=1)[w.codes]
-        used = np.stack([np.ones(len(first), bool), tail], axis=1)[w.codes]
-        ids, n = self.cache.gathered(list(parts), both[used])
-        per_word = np.zeros(used.shape, np.int64)
-        per_word[used] = n
-        per_text = np.bincount(w.doc, per_word.sum(axis=1), len(texts)).astype(np.int64)
-        out = np.full(len(ids) + len(texts), END, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[np.cumsum(per_text + 1) - 1] = False
-        out[keep] = ids
-        return out, per_text + 1
+        ids = self.words.ids(w.distinct.to_pylist())
+        ids.append(np.array([END], np.uint32).tobytes())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        codes = np.insert(w.codes, w.bounds[1:], len(ids) - 1)
+        out, n = ragged(np.frombuffer(b"".join(ids), np.uint32), lengths, codes)
+        ends = np.concatenate([[0], np.cumsum(n)])[w.bounds[1:] + np.arange(1, len(texts) + 1)]
+        return out, np.diff(ends, prepend=0)
 
 
 @lru_cache(maxsize=2)

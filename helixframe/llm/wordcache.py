@@ -14,7 +14,7 @@ import numpy as np
 
 
 class WordCache:
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], size: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int] | bytes]], size: int = 250_000):
         self.encode, self.size = encode, size
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -36,7 +36,7 @@ class WordCache:
         if missing:
             fresh = [words[i] for i in missing]
             for i, w, got in zip(missing, fresh, self.encode(fresh), strict=True):
-                found[i] = young[w] = np.array(got, np.uint32).tobytes()
+                found[i] = young[w] = got if isinstance(got, bytes) else np.array(got, np.uint32).tobytes()
         if len(young) > self.size:
             self.old, self.young = young, {}
         return found

@@ -21,7 +21,10 @@ SLICE_BYTES = 4 << 20
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` text bytes; one longer text is a batch of its own."""
+    """The same rows in batches of about ``limit`` text bytes: smaller batches are joined, larger ones cut; one longer
+    text is a batch of its own."""
+    held: list[pa.RecordBatch] = []
+    total = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -30,9 +33,22 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         first = 0
         while first < batch.num_rows:
             base = ends[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(first, last - first)
+            last = int(np.searchsorted(ends, base + limit - total, side="right"))
+            if last <= first:
+                if held:
+                    yield _joined(held)
+                    held, total = [], 0
+                    continue
+                last = first + 1
+            held.append(batch.slice(first, last - first))
+            total += int(ends[last - 1] - base)
             first = last
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 def filled(texts: pa.Array) -> pa.Array:
