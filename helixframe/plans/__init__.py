@@ -1 +1,4 @@
-"""See the package README for what lives here."""
+"""Registered queries over the derived views.  Importing this package registers all of them."""
+
+from . import kmer_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
