@@ -1,4 +1,4 @@
 """Registered queries over the derived views.  Importing this package registers all of them."""
 
-from . import kmer_queries  # noqa: F401
+from . import kmer_queries, number_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
