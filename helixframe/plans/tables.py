@@ -51,7 +51,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, id1, id2, lib, sep: the first and last line of each order; days between order and last shipping."""
     lines = table(spark, sf_dir, "lineitem")
     ends = lines.groupBy(F.col("l_orderkey").alias("pair_id")).agg(
-        F.min_by("l_partkey", "l_linenumber").alias("id1"), F.max_by("l_partkey", "l_linenumber").alias("id2"), F.max("l_shipdate").alias("last")
+        F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("id1"), F.max(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("id2"), F.max("l_shipdate").alias("last")
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair_id"), F.col("o_orderpriority").alias("lib"), "o_orderdate")
     return ends.join(orders, "pair_id").select("pair_id", "id1", "id2", "lib", F.date_diff(F.to_date("last"), F.to_date("o_orderdate")).cast("long").alias("sep"))
@@ -65,7 +65,7 @@ INTERVALS_SQL = (
     "floor(epoch(ts))::BIGINT + floor(60 * value)::BIGINT AS stop FROM events)"
 )
 PAIRS_SQL = (
-    "pairs AS (SELECT l_orderkey AS pair_id, arg_min(l_partkey, l_linenumber) AS id1, arg_max(l_partkey, l_linenumber) AS id2, o_orderpriority AS lib, "
+    "pairs AS (SELECT l_orderkey AS pair_id, arg_min(l_partkey, l_linenumber * 100000000 + l_partkey) AS id1, arg_max(l_partkey, l_linenumber * 100000000 + l_partkey) AS id2, o_orderpriority AS lib, "
     "date_diff('day', o_orderdate::DATE, max(l_shipdate)::DATE)::BIGINT AS sep FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
     "GROUP BY l_orderkey, o_orderpriority, o_orderdate)"
 )
