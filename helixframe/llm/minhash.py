@@ -14,10 +14,11 @@ distinct five-word shingles (the whole sequence if it has fewer words).
    number of candidate pairs is bounded by the number of bucket rows.
 4. Candidates are confirmed on the full sets: 100 * common >= 75 * union.
 5. The exact rest: a star whose centre is not similar to two similar members must
-   lose no link.  Members of one star in different components are compared by
-   what they add to the centre: only pairs that can meet the threshold, by the
-   sizes of their overlaps with the centre and of their common additions, are
-   tested too (``untested``).
+   lose no link.  Where members of one star are in different components, a better
+   centre is chosen and sends a second star (``second_star``).  Members that are
+   still apart are compared by what they add to that centre: only pairs that can
+   meet the threshold, by the sizes of their overlaps with the centre and of
+   their common additions, are tested too (``untested``).
 6. Components by minimum labels with pointer jumping.
 
 Every shuffle key with many rows meets either a combinable aggregate or a join
@@ -177,27 +178,46 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _with_texts(pairs, texts).mapInArrow(_measured, "a long, b long, n_a long, n_b long, common long")
 
 
+def _apart(star: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b, n_b, common, component, hub_component, least_n, m: members of stars that are not in one component yet."""
+    placed = star.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "b", "n_b", "common", F.coalesce("component", "b").alias("component"))
+    hub = labels.select(F.col("node").alias("a"), F.col("component").alias("hub_component"))
+    placed = placed.join(hub, "a", "left").withColumn("hub_component", F.coalesce("hub_component", "a"))
+    apart = placed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_b").alias("least_n"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 1")
+    return placed.join(apart.select("a", "least_n", "m"), "a")
+
+
+def second_star(star: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a better centre and the members of each star that are still apart.
+
+    The first centre is a bucket's least doc_id and may be an edited copy.  What most members add to it belongs to
+    the text they were copied from; the member that is made up of the centre's and such shingles is the next centre.
+    """
+    members = stored(_apart(star, labels), "minhash-apart")
+    added = stored(_with_texts(members, texts).mapInArrow(_added, "a long, b long, s long"), "minhash-added")
+    usual = added.groupBy("a", "s").agg(F.count(F.lit(1)).alias("f")).join(members.select("a", "m").distinct(), "a").where("2 * f >= m").select("a", "s")
+    gain = added.join(usual, ["a", "s"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("gain"))
+    score = F.struct((2 * (F.col("common") + F.coalesce("gain", F.lit(0))) - F.col("n_b")).alias("score"), (-F.col("b")).alias("least"))
+    centre = members.join(gain, ["a", "b"], "left").groupBy("a").agg(F.max_by("b", score).alias("centre"))
+    return members.select("a", "b").join(centre, "a").where("b <> centre").select(F.col("centre").alias("a"), "b").distinct()
+
+
 def untested(star: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one hub, in different components, that can be linked at all.
+    """Pairs (a, b) of members of one star, in different components, that can be linked at all.
 
-    ``star`` has the measured pairs of each hub with its members.  Two members x
-    and y share at most what both share with the hub and what both add to it, so
-    they can only be linked if
+    ``star`` has the measured pairs of each centre with its members.  Two members
+    x and y share at most what both share with the centre and what both add to
+    it, so they can only be linked if
 
-    * the hub's part alone suffices: 7 * least(common_x, common_y) >= 3 * (n_x + n_y), or
+    * the centre's part alone suffices: 7 * least(common_x, common_y) >= 3 * (n_x + n_y), or
     * they add a common shingle, and with all of those the bound holds
 
     (100 * common >= 75 * union is 7 * common >= 3 * (n_x + n_y)).  Both joins
     leave out what cannot meet the bound, so copies with edits of their own make
     no pairs; nothing that meets it is left out.
     """
-    placed = star.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "b", "n_b", "common", F.coalesce("component", "b").alias("component"))
-    # The hub's own component counts too: it decides whether its members are still apart.
-    hub = labels.select(F.col("node").alias("a"), F.col("component").alias("hub_component"))
-    placed = placed.join(hub, "a", "left").withColumn("hub_component", F.coalesce("hub_component", "a"))
-    apart = placed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_b").alias("least_n"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 1")
     spare, fits = F.expr("7 * common - 3 * n_b"), F.expr("7 * least(x.common, y.common) >= 3 * (x.n_b + y.n_b)")
-    members = stored(placed.join(apart.select("a", "least_n"), "a"), "minhash-apart")
+    members = stored(_apart(star, labels), "minhash-apart")
     able = members.where(spare >= 3 * F.col("least_n"))
     outside = able.where("component <> hub_component").alias("x")
     by_hub = outside.join(able.alias("y"), "a").where((F.col("x.component") != F.col("y.component")) & fits).select(F.col("x.b").alias("x"), F.col("y.b").alias("y"))
@@ -207,7 +227,7 @@ def untested(star: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     split = tagged.groupBy("a", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a", "s")
     shared = added.join(split, ["a", "s"], "left_semi").join(members, ["a", "b"])
     left, right = shared.where("component <> hub_component").alias("x"), shared.alias("y")
-    # A member counts from the side outside the hub's component; two outside members meet once, by component.
+    # A member counts from the side outside the centre's component; two outside members meet once, by component.
     once = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.hub_component")) | (F.col("x.component") < F.col("y.component")))
     met = left.join(right, (F.col("x.a") == F.col("y.a")) & (F.col("x.s") == F.col("y.s")) & once)
     by_added = met.groupBy(F.col("x.a").alias("h"), F.col("x.b").alias("x"), F.col("y.b").alias("y")).agg(
@@ -256,11 +276,14 @@ def linked(docs: DataFrame) -> DataFrame:
     released(spark)
     links = star.where(LINKED).select("a", "b")
     labels = components(links, "minhash-first")
-    # The exact rest: members of one bucket that the star has left in different components.
-    pairs = stored(untested(star, labels, texts).join(star.select("a", "b"), ["a", "b"], "left_anti"), "minhash-rest")
+    # The exact rest: members of one star that are still in different components.
+    again = stored(measured(stored(second_star(star, labels, texts), "minhash-second"), texts), "minhash-measured")
+    links = links.union(again.where(LINKED).select("a", "b"))
+    labels = components(links, "minhash-next")
+    pairs = stored(untested(again, labels, texts), "minhash-rest")
     more = measured(pairs, texts).where(LINKED).select("a", "b")
     labels = components(links.union(stored(more, "minhash-more")), "minhash-all")
-    dropped(spark, texts, star, pairs)
+    dropped(spark, texts, star, again, pairs)
 
     of_class = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of_class = of_class.select(*key, F.coalesce("component", "rep").alias("component_id"))
