@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.graph import cut
+
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str, keep: bool = True) -> DataFrame:
     """Rows whose key is (or is not) in a one-column table of ids."""
@@ -50,11 +52,17 @@ def sample_up_to(df: DataFrame, key: str, weight: str, target: int, seed: int =
     return rows.where(F.col("__before") < target).drop("__h", "__bin", "__before")
 
 
+def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows in range partitions with ``__p``, the partition.  Kept, because both the sizes and the rows are read from
+    it and another run may draw other bounds."""
+    return cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+
+
 def divided(df: DataFrame, order: Sequence[str], parts: int) -> DataFrame:
     """Adds ``part`` (from 1): equal shares of the rows in order, by range partitions counted first.
 
     The place of a row is the size of the ranges before its own plus its place there."""
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    ranged = _ranged(df, order)
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"), F.sum("n").over(Window.partitionBy()).alias("__n"))
     placed = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1).join(starts, "__p")
@@ -79,7 +87,7 @@ def broken_at(df: DataFrame, key: str, value: str, letter: str, least: int) -> D
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "new_id") -> DataFrame:
     """A gapless number from 0 in order, by range partitions as in ``divided``."""
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    ranged = _ranged(df, order)
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
     placed = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1).join(starts, "__p")

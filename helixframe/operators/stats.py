@@ -89,6 +89,19 @@ def library_size(n: float, distinct: float, steps: int = 60) -> float:
     return (low + high) / 2
 
 
+def library_size_column(n: Column, distinct: Column, steps: int = 100) -> Column:
+    """``library_size`` as a column: bisection of the logarithm between ``distinct`` and a million times that."""
+    start = F.struct(distinct.cast("double").alias("low"), (distinct * 1e6).alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.sqrt(acc["low"] * acc["high"])
+        above = distinct / mid - 1 + F.exp(-n / mid) > 0
+        return F.struct(F.when(above, mid).otherwise(acc["low"]).alias("low"), F.when(above, acc["high"]).otherwise(mid).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    return F.when((distinct > 0) & (distinct < n), F.sqrt(found["low"] * found["high"]))
+
+
 def complexity_curve(x: Column, n: Column, distinct: Column, folds: int = 10) -> Column:
     """Array of (fold, yield): distinct molecules expected at z times the draws, relative to now."""
     return F.transform(F.sequence(F.lit(1), F.lit(folds)), lambda z: F.struct(z.alias("fold"), (x * (1 - F.exp(-z * n / x)) / distinct).alias("yield")))

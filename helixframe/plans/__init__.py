@@ -1,4 +1,4 @@
 """Registered queries over the derived views.  Importing this package registers all of them."""
 
-from . import graph_queries, kmer_queries, number_queries, set_queries  # noqa: F401
+from . import correct_queries, graph_queries, kmer_queries, number_queries, set_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

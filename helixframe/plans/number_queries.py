@@ -94,9 +94,8 @@ def library_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def library_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Solved per event type on the driver's side of a tiny aggregate: one row per type."""
-    solve = F.udf(lambda n, d: float(stats.library_size(n, d)), "double")
-    rows = library_molecules(spark, sf_dir).withColumn("x", solve("n", "n_distinct"))
+    """Molecules per event type from draws and distinct draws."""
+    rows = library_molecules(spark, sf_dir).withColumn("x", stats.library_size_column(F.col("n"), F.col("n_distinct")))
     return rows.select("event_type", "n", "n_distinct", F.round("x", 3).alias("molecules"), stats.complexity_curve(F.col("x"), F.col("n"), F.col("n_distinct"))[9]["yield"].alias("tenfold_yield"))
 
 

@@ -79,8 +79,10 @@ def test_strings(spark):
     assert t.expanded_ranges("chr[#1-3]") == "chr(?:1|2|3)"
 
 
-def test_library_size_solves_its_equation():
+def test_library_size_solves_its_equation(spark):
     import math
 
+    assert one(spark, stats.library_size_column(F.col("n"), F.col("d")), n=1000, d=800) == pytest.approx(stats.library_size(1000, 800), rel=1e-9)
+
     x = stats.library_size(1000, 800)
     assert 800 / x - 1 + math.exp(-1000 / x) == pytest.approx(0, abs=1e-9)
