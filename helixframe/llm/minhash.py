@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import dropped, released, small_batches, stored
@@ -210,7 +210,8 @@ def untested(star: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     it, so they can only be linked if
 
     * the centre's part alone suffices: 7 * least(common_x, common_y) >= 3 * (n_x + n_y), or
-    * they add a common shingle, and with all of those the bound holds
+    * they add a common shingle, and then the rarest of those lies among the
+      first n - 3/7 * (n_x + n_y) + 1 of either one's shingles (prefix filter)
 
     (100 * common >= 75 * union is 7 * common >= 3 * (n_x + n_y)).  Both joins
     leave out what cannot meet the bound, so copies with edits of their own make
@@ -223,17 +224,19 @@ def untested(star: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     by_hub = outside.join(able.alias("y"), "a").where((F.col("x.component") != F.col("y.component")) & fits).select(F.col("x.b").alias("x"), F.col("y.b").alias("y"))
 
     added = stored(_with_texts(members, texts).mapInArrow(_added, "a long, b long, s long"), "minhash-added")
-    tagged = added.join(members.select("a", "b", "component"), ["a", "b"])
-    split = tagged.groupBy("a", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a", "s")
-    shared = added.join(split, ["a", "s"], "left_semi").join(members, ["a", "b"])
-    left, right = shared.where("component <> hub_component").alias("x"), shared.alias("y")
+    tagged = added.join(members.select("a", "b", "n_b", "component", "hub_component", "least_n"), ["a", "b"])
+    usual = tagged.groupBy("a", "s").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    # Additions in the order of their frequency come before the centre's shingles.  The first shingle that a linked
+    # pair shares has the rest of the required overlap behind it, so it lies in the prefix of both.
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "s"))
+    least = F.greatest(F.col("least_n"), F.ceil(0.75 * F.col("n_b")))
+    prefix = tagged.join(usual, ["a", "s"]).withColumn("place", place).where(F.col("place") <= F.col("n_b") - F.ceil(3 * (F.col("n_b") + least) / 7) + 1)
+    prefix = prefix.where("lo <> hi").select("a", "b", "s", "component", "hub_component")
+    left, right = prefix.where("component <> hub_component").alias("x"), prefix.alias("y")
     # A member counts from the side outside the centre's component; two outside members meet once, by component.
     once = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.hub_component")) | (F.col("x.component") < F.col("y.component")))
     met = left.join(right, (F.col("x.a") == F.col("y.a")) & (F.col("x.s") == F.col("y.s")) & once)
-    by_added = met.groupBy(F.col("x.a").alias("h"), F.col("x.b").alias("x"), F.col("y.b").alias("y")).agg(
-        F.count(F.lit(1)).alias("shared"), F.first(F.expr("least(x.common, y.common)")).alias("through"), F.first(F.expr("x.n_b + y.n_b")).alias("sizes")
-    )
-    by_added = by_added.where("7 * (through + shared) >= 3 * sizes").select("x", "y")
+    by_added = met.select(F.col("x.b").alias("x"), F.col("y.b").alias("y"))
     return by_hub.union(by_added).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
