@@ -390,6 +390,29 @@ def test_toxicity_learns_and_scores_everything(spark):
     assert none == 0 and toxicity.toxicity(documents(spark, EMPTY), labels).count() == 0
 
 
+def test_every_word_has_log_odds(spark):
+    rng = random.Random(12)
+    voc = [f"word{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(500):
+        bad = i % 4 == 0
+        words = [rng.choice(voc) for _ in range(40)]
+        words += ["harsh"] * (rng.random() < (0.6 if bad else 0.2)) + ["kindly"] * (rng.random() < (0.1 if bad else 0.6)) + ["vile"] * bad
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    model = toxicity.learned(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    kindly, harsh, vile, new = model.hits(pa.array(["kindly", "harsh", "vile", "zzz"]))
+    assert kindly < -0.5 and 0.3 < harsh < 2.5 < vile and new == model.drift < 0
+    (n, found), = toxicity.passages(model, pa.array(["vile " + "kindly " * 9 + "vile"]))
+    assert n == 11 and len(found) == 2
+
+
+def test_segments_are_found_in_linear_time():
+    n = 60_000
+    found = toxicity.segments(np.arange(0, 3 * n, 3), np.ones(n), -1.0)
+    assert len(found) == n and all(s == 1 for *_, s in found)
+
+
 # --- the pipeline ----------------------------------------------------------------
 
 
