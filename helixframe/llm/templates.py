@@ -3,10 +3,13 @@ r"""Benchmark decontamination by template canonicalisation.
 A text becomes a sequence of canonical tokens: numbers (digits or number words)
 become ``<num>``, a unit right after a number ``<unit>``, a run of capitalised
 words that do not open a sentence one ``<name>``; other words are lower-cased and
-stripped of punctuation, words of punctuation alone vanish.  Windows of
+stripped of punctuation, words of punctuation alone vanish.  As a capital at the
+start of a sentence may or may not be a name, and a title or a text in capitals
+has no other words, there are two further forms: one in which capitalised words
+that open a sentence are names too, and one without names.  Windows of
 ``WINDOW`` tokens of documents and benchmark items meet in a hash join.  An item
-leaks into a document that holds at least ``PERCENT`` % of its distinct windows
-and whose slots are consistent: the values that stand for one value of the item
+leaks into a document that holds, in any one form, at least ``PERCENT`` % of its
+distinct windows and whose slots are consistent: the values that stand for one value of the item
 must agree in at least ``PERCENT`` % of the places, so a re-parameterised
 question is caught and an accidental template match is not.
 
@@ -48,6 +51,8 @@ UNIT_WORDS = (
 ).split()
 
 NUM, UNIT, NAME = 1, 2, 3
+#: Which capitalised words are names: those inside sentences, all, none.  The first form that leaks is reported.
+INNER, ALL, PLAIN = FORMS = range(3)
 _MARKS = hashed(pa.array(["", "<num>", "<unit>", "<name>"]))
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(st|nd|rd|th|%|[a-z]{1,3})?")
 _EDGES = " \t.,;:!?\"'()[]{}<>|*#&-_/\\“”‘’«»…$%€"
@@ -73,11 +78,10 @@ def _forms(distinct: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 class Tokens:
-    """Canonical tokens of the texts of a slice."""
+    """Canonical tokens of the texts of a slice in one form."""
 
-    def __init__(self, texts: pa.Array):
-        w: Words = words_of(texts)
-        forms, (number, unit, upper, stop) = _forms(w.distinct)
+    def __init__(self, w: Words, distinct: tuple[list[str], np.ndarray, np.ndarray], form: int):
+        forms, (number, unit, upper, stop), hashes = distinct
         c, doc = w.codes, w.doc
         first = np.zeros(len(c), bool)
         first[w.bounds[:-1][w.counts > 0]] = True
@@ -86,15 +90,19 @@ class Tokens:
         opens = first | stop[before] if len(c) else first
         is_number = number[c]
         is_unit = unit[c] & ~is_number & after & ~first & number[before] if len(c) else is_number
-        name = upper[c] & ~opens & ~is_number & ~is_unit
+        name = upper[c] & ~is_number & ~is_unit
+        if form == INNER:
+            name &= ~opens
+        elif form == PLAIN:
+            name[:] = False
         again = name & np.concatenate([[False], name[:-1]]) & ~first if len(c) else name
         blank = np.array([f == "" for f in forms], bool)[c] if len(c) else name
         kind = np.where(is_number, NUM, np.where(is_unit, UNIT, np.where(name, NAME, 0)))
         keep = ~again & ~(blank & (kind == 0))
-        h = hashed(pa.array(forms, pa.string()))[c] if len(c) else np.zeros(0, np.uint64)
+        h = hashes[c]
         h = np.where(kind > 0, _MARKS[kind], h)
-        self.forms, self.codes, self.kind, self.hash = forms, c[keep], kind[keep], h[keep]
-        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(texts)))]).astype(np.int64)
+        self.form, self.forms, self.codes, self.kind, self.hash = form, forms, c[keep], kind[keep], h[keep]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(w.bounds) - 1))]).astype(np.int64)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Document, start (token of the slice), number of tokens and hash of each window."""
@@ -109,6 +117,8 @@ class Tokens:
                 size.append(np.full(len(whole), k))
                 h.append(mixed(windows(self.hash, k)[whole] + np.uint64(k)))
         at, size, h = np.concatenate(at), np.concatenate(size), np.concatenate(h)
+        if self.form:
+            h = mixed(h + np.uint64(self.form << 32))
         return np.searchsorted(self.bounds, at, side="right") - 1, at, size, h
 
     def slots(self, start: int, size: int) -> str:
@@ -116,24 +126,33 @@ class Tokens:
         return "\x1f".join(f"{j}={self.forms[self.codes[start + j]]}" for j in range(size) if self.kind[start + j])
 
 
-_SCHEMA = "h long, id long, pos long, size int, slots string"
+def tokens(texts: pa.Array) -> Iterator[Tokens]:
+    """The canonical tokens in each form."""
+    w = words_of(texts)
+    forms, flags = _forms(w.distinct)
+    hashes = hashed(pa.array(forms, pa.string()))
+    for form in FORMS:
+        yield Tokens(w, (forms, flags, hashes), form)
+
+
+_SCHEMA = "form int, h long, id long, pos long, size int, slots string"
 
 
 def _scanner(id_column: str, bitmap: bytes | None):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
         for batch in text_slices(batches):
-            t = Tokens(batch.column("text"))
-            doc, at, size, h = t.windows()
-            if bits is not None:
-                slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                hit = (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
-                doc, at, size, h = doc[hit], at[hit], size[hit], h[hit]
-            slots = [t.slots(a, s) for a, s in zip(at.tolist(), size.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), batch.column(id_column).cast(pa.int64()).take(pa.array(doc)), pa.array(at - t.bounds[doc]), pa.array(size.astype(np.int32)), pa.array(slots, pa.string())],
-                names=["h", "id", "pos", "size", "slots"],
-            )
+            for t in tokens(batch.column("text")):
+                doc, at, size, h = t.windows()
+                if bits is not None:
+                    slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                    hit = (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
+                    doc, at, size, h = doc[hit], at[hit], size[hit], h[hit]
+                slots = [t.slots(a, s) for a, s in zip(at.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(h), t.form, np.int32)), pa.array(h.view(np.int64)), batch.column(id_column).cast(pa.int64()).take(pa.array(doc)), pa.array(at - t.bounds[doc]), pa.array(size.astype(np.int32)), pa.array(slots, pa.string())],
+                    names=["form", "h", "id", "pos", "size", "slots"],
+                )
 
     return scan
 
@@ -159,35 +178,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("item_id IS NOT NULL").select("item_id", "text").mapInArrow(_scanner("item_id", None), _SCHEMA)
     bitmap = _bitmap(items)
     found = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_scanner("doc_id", bitmap), _SCHEMA)
-    totals = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("h").alias("n_windows"))
-    d = found.select("h", F.col("id").alias("doc_id"), F.col("pos").alias("d_pos"), "size", F.col("slots").alias("d_slots"))
-    i = items.select("h", F.col("id").alias("item_id"), F.col("pos").alias("i_pos"), F.col("size").alias("i_size"), F.col("slots").alias("i_slots"))
-    hits = d.join(i, (d["h"] == i["h"]) & (d["size"] == i["i_size"])).select("doc_id", "item_id", d["h"].alias("h"), "i_pos", "d_pos", "i_slots", "d_slots")
+    totals = items.groupBy(F.col("id").alias("item_id"), "form").agg(F.count_distinct("h").alias("n_windows"))
+    d = found.select("h", "form", F.col("id").alias("doc_id"), F.col("pos").alias("d_pos"), "size", F.col("slots").alias("d_slots"))
+    i = items.select("h", F.col("form").alias("i_form"), F.col("id").alias("item_id"), F.col("pos").alias("i_pos"), F.col("size").alias("i_size"), F.col("slots").alias("i_slots"))
+    hits = d.join(i, (d["h"] == i["h"]) & (d["size"] == i["i_size"]) & (d["form"] == i["i_form"])).select("doc_id", "item_id", "form", d["h"].alias("h"), "i_pos", "d_pos", "i_slots", "d_slots")
 
-    matched = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("n_matched")).join(totals, "item_id").where(100 * F.col("n_matched") >= PERCENT * F.col("n_windows"))
+    matched = hits.groupBy("doc_id", "item_id", "form").agg(F.count_distinct("h").alias("n_matched")).join(totals, ["item_id", "form"]).where(100 * F.col("n_matched") >= PERCENT * F.col("n_windows"))
     # Each slot of the item with the value that the document has in its place.
     pair = F.explode(F.arrays_zip(F.split("i_slots", "\x1f").alias("i"), F.split("d_slots", "\x1f").alias("d")))
     slots = (
         hits.where("i_slots <> ''")
-        .join(matched.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
-        .select("doc_id", "item_id", "i_pos", "d_pos", pair.alias("p"))
-        .select("doc_id", "item_id", (F.col("i_pos") + F.substring_index("p.i", "=", 1).cast("long")).alias("place"), (F.col("d_pos") + F.substring_index("p.d", "=", 1).cast("long")).alias("d_place"), F.regexp_replace("p.i", r"^\d+=", "").alias("theirs"), F.regexp_replace("p.d", r"^\d+=", "").alias("ours"))
+        .join(matched.select("doc_id", "item_id", "form"), ["doc_id", "item_id", "form"], "left_semi")
+        .select("doc_id", "item_id", "form", "i_pos", "d_pos", pair.alias("p"))
+        .select("doc_id", "item_id", "form", (F.col("i_pos") + F.substring_index("p.i", "=", 1).cast("long")).alias("place"), (F.col("d_pos") + F.substring_index("p.d", "=", 1).cast("long")).alias("d_place"), F.regexp_replace("p.i", r"^\d+=", "").alias("theirs"), F.regexp_replace("p.d", r"^\d+=", "").alias("ours"))
         .distinct()
     )
     # Each alignment (difference of places) is judged by itself; the one with the most slots counts.
     slots = slots.withColumn("shift", F.col("d_place") - F.col("place"))
-    by_value = slots.groupBy("doc_id", "item_id", "shift", "theirs", "ours").agg(F.count(F.lit(1)).alias("n"))
+    by_value = slots.groupBy("doc_id", "item_id", "form", "shift", "theirs", "ours").agg(F.count(F.lit(1)).alias("n"))
     by_shift = (
-        by_value.groupBy("doc_id", "item_id", "shift", "theirs")
+        by_value.groupBy("doc_id", "item_id", "form", "shift", "theirs")
         .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.when(F.col("theirs") != F.col("ours"), F.col("n")).otherwise(0)).alias("changed"))
-        .groupBy("doc_id", "item_id", "shift")
+        .groupBy("doc_id", "item_id", "form", "shift")
         .agg(F.sum("n").alias("n"), F.sum("most").alias("most"), F.sum("changed").alias("changed"))
     )
     best = F.max(F.struct("n", "most", "changed"))
-    agreed = by_shift.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.n").alias("n_slots"), F.col("b.most").alias("n_consistent"), F.col("b.changed").alias("n_changed"))
-    out = matched.join(agreed, ["doc_id", "item_id"], "left")
+    agreed = by_shift.groupBy("doc_id", "item_id", "form").agg(best.alias("b")).select("doc_id", "item_id", "form", F.col("b.n").alias("n_slots"), F.col("b.most").alias("n_consistent"), F.col("b.changed").alias("n_changed"))
+    out = matched.join(agreed, ["doc_id", "item_id", "form"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     out = out.where("n_slots IS NULL OR 100 * n_consistent >= %d * n_slots" % PERCENT)
+    first = F.min(F.struct("form", "n_windows", "n_matched", "n_slots", "n_consistent", "n_changed"))
+    out = out.groupBy("doc_id", "item_id").agg(first.alias("f")).select("doc_id", "item_id", "f.*")
     return out.select("doc_id", "item_id", "n_windows", "n_matched", zero("n_slots"), zero("n_consistent"), zero("n_changed"))
 
 

@@ -141,6 +141,22 @@ def test_slots_that_disagree_are_no_leak(spark):
     assert {r["doc_id"] for r in templates.leaks(documents(spark, rows), bench).collect()} == {1}
 
 
+def test_names_that_open_sentences_and_capitals_are_caught(spark):
+    item = "Anna has 3 apples. Anna buys 5 more. Anna eats 2 of them. Anna then sells the rest to her old friend."
+    title = "the long way to the river goes past Old Mill Lane and then turns left at the red barn"
+    bench = spark.createDataFrame([(1, item), (2, title)], "item_id long, text string")
+    rows = [
+        (1, item.replace("Anna", "Tom").replace("3", "7").replace("5", "9")),
+        (2, title.title()),
+        (3, title.upper()),
+        (4, "Yesterday " + item),
+        (5, "Tom has 3 pears. Ben sees 5 dogs. Kim likes 2 of these. Sue then paints the rest of her own house."),
+        (6, item.replace("Anna", "Tom", 1).replace("Anna", "Ben", 1).replace("Anna", "Kim", 1).replace("Anna", "Sue", 1)),
+    ]
+    got = [(r["doc_id"], r["item_id"]) for r in templates.leaks(documents(spark, rows), bench).collect()]
+    assert sorted(got) == [(1, 1), (2, 2), (3, 2), (4, 1)]
+
+
 # --- 4 -------------------------------------------------------------------------
 
 
