@@ -4,7 +4,9 @@ Base findings are leftmost non-overlapping matches per kind (``assign``,
 ``access``, ``hex``), dropped where too short.  Every candidate - a run of at
 least ``LEAST`` token characters that mixes letters and digits - is scored by a
 small convolutional network over the candidate and its surrounding characters,
-written in numpy.  A candidate that no base finding touches and whose calibrated
+written in numpy.  A candidate longer than ``INSIDE`` characters is scored in
+overlapping stretches of that length and counts by its largest probability.  A
+candidate that no base finding touches and whose calibrated
 probability reaches the threshold is added as kind ``cnn``; base findings stay.
 
 The network is trained here, on ``TRAINING`` labelled findings made from the
@@ -12,7 +14,7 @@ fixed rules in ``labelled_findings`` (random secrets in key, header and
 configuration contexts against identifiers, paths, dates, addresses and plain
 words).  A second part calibrates its output by a logistic curve, and a third
 sets the threshold: the largest one that still recalls ``RECALL`` of the
-secrets, held within ``LEAST_PROBABILITY`` and ``MOST_PROBABILITY``.
+secrets, at most ``MOST_PROBABILITY``.
 
 Defined results: a null text is empty and has no findings; positions are code
 points with exclusive ends; repeated rows are scanned each; further columns are
@@ -38,12 +40,14 @@ from .words import filled, text_slices
 
 TRAINING = 4_000
 RECALL = 0.97
-LEAST_PROBABILITY, MOST_PROBABILITY = 0.5, 0.99
+MOST_PROBABILITY = 0.99
 #: Least length of a candidate.
 LEAST = 16
 #: Characters before, of, and after the candidate that the network sees.
 BEFORE, INSIDE, AFTER = 24, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
+#: Distance of the stretches of a long candidate: each run of INSIDE - STEP characters lies whole in one.
+STEP = 10
 KINDS = ("assign", "access", "hex", "cnn")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -76,6 +80,12 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in CANDIDATE.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
 
 
+def stretches(start: int, end: int) -> list[tuple[int, int]]:
+    """What the network sees of a candidate, one after another: all of it from its start, then each ``INSIDE`` characters of a long one."""
+    last = end - INSIDE
+    return [(start, end), *((at, at + INSIDE) for at in range(start + STEP, last, STEP)), *([(last, end)] if last > start else [])]
+
+
 # --- the network ---------------------------------------------------------------
 
 _CLASSES = 9
@@ -126,7 +136,7 @@ class Network:
     out: np.ndarray
     out_bias: np.ndarray
     curve: tuple[float, float] = (1.0, 0.0)
-    threshold: float = LEAST_PROBABILITY
+    threshold: float = 0.5
 
     def forward(self, x: np.ndarray) -> dict[str, np.ndarray]:
         wins = np.lib.stride_tricks.sliding_window_view(x, KERNEL, axis=1).transpose(0, 1, 3, 2).reshape(len(x), WIDTH - KERNEL + 1, -1)
@@ -238,7 +248,7 @@ def trained(seed: int = 7) -> Network:
         w += np.linalg.solve(h, g)
     net.curve = (float(w[0]), float(w[1]))
     found = np.sort(net.probabilities(x[tune:])[y[tune:] == 1])
-    net.threshold = min(MOST_PROBABILITY, max(LEAST_PROBABILITY, float(found[int((1 - RECALL) * len(found))])))
+    net.threshold = min(MOST_PROBABILITY, float(found[int((1 - RECALL) * len(found))]))
     return net
 
 
@@ -257,18 +267,22 @@ def spans_of(texts: pa.Array, net: Network) -> list[list[Span]]:
         found[i] = base
         if maybe["cnn"][i]:
             for a, b in candidates(text):
-                windows.append(encoded(text, a, b))
-                places.append((i, a, b, any(a < e and s < b for s, e, _ in base)))
-                if len(windows) >= 4096:
-                    _judge(windows, places, found, net)
+                if any(a < e and s < b for s, e, _ in base):
+                    continue
+                for x, y in stretches(a, b):
+                    windows.append(encoded(text, x, y))
+                    places.append((i, a, b))
+                    if len(windows) >= 4096:
+                        _judge(windows, places, found, net)
     _judge(windows, places, found, net)
     return [sorted(s, key=lambda x: (x[0], KINDS.index(x[2]))) for s in found]
 
 
-def _judge(windows: list[np.ndarray], places: list[tuple[int, int, int, bool]], found: list[list[Span]], net: Network) -> None:
+def _judge(windows: list[np.ndarray], places: list[tuple[int, int, int]], found: list[list[Span]], net: Network) -> None:
     if windows:
-        for (i, a, b, known), p in zip(places, net.probabilities(np.stack(windows)), strict=True):
-            if p >= net.threshold and not known:
+        for (i, a, b), p in zip(places, net.probabilities(np.stack(windows)), strict=True):
+            # The stretches of a candidate follow each other.
+            if p >= net.threshold and found[i][-1:] != [(a, b, "cnn")]:
                 found[i].append((a, b, "cnn"))
     windows.clear()
     places.clear()

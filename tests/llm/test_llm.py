@@ -241,6 +241,31 @@ def test_base_findings_stay_and_the_network_recalls_made_secrets(spark):
     assert p[y].mean() >= 0.9 and p[~y].mean() <= 0.05
 
 
+def test_secrets_deep_inside_long_candidates_are_found():
+    net, rng = secrets_cnn.trained(), np.random.default_rng(77)
+    chars = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    heads = ["/usr/share/documents/manuals/letters/of/the/house/token/", "name=value_of_the_first_and_the_second_part_of_the_chain/key="]
+    keys = ["".join(rng.choice(chars, 32)) for _ in range(100)]
+    texts = [f"see {heads[i % 2]}{k} there" for i, k in enumerate(keys)]
+    got = secrets_cnn.spans_of(pa.array(texts), net)
+    assert sum(bool(s) for s in got) >= 90
+    assert all(k not in secrets_cnn.masked(t, s) for k, t, s in zip(keys, texts, got) if s)
+    for n in (16, 40, 41, 95, 300):
+        seen = np.zeros(n, int)
+        for a, b in secrets_cnn.stretches(5, 5 + n):
+            seen[a - 5 : min(b, a + secrets_cnn.INSIDE) - 5] = 1
+        assert seen.all()
+
+
+def test_threshold_keeps_the_recall():
+    rng = np.random.default_rng(7)
+    rows = secrets_cnn.labelled_findings(secrets_cnn.TRAINING, rng)
+    tune = rows[int(0.8 * len(rows)) :]
+    net = secrets_cnn.trained()
+    p = net.probabilities(np.stack([secrets_cnn.encoded(t, a, b) for t, a, b, y in tune if y]))
+    assert (p >= net.threshold).mean() >= secrets_cnn.RECALL
+
+
 # --- 7 -------------------------------------------------------------------------
 
 
