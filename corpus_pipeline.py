@@ -4,7 +4,7 @@
 2. near_dedup      one document of each group of near-duplicates stays
 3. decontaminate   documents into which a benchmark item leaked go
 4. secrets         findings are masked in the texts
-5. sentencepiece   the texts as ids, with a check that decoding gives them back
+5. sentencepiece   the texts as ids, with a check that decoding gives them back and that the library gives the same
 
 All stages but the last return the columns of documents; the last returns
 ``doc_id, n_tokens, ids_crc32, exact, ids`` (32-bit little-endian ids).  Nulls,
@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixframe.llm import minhash, pieces, secrets_cnn, templates, toxicity
 from helixframe.llm.storage import dropped, stored
@@ -50,7 +51,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str
         import public_tokenizers
 
         model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.encoded(docs, model, with_ids=True).select("doc_id", "n_tokens", "ids_crc32", "exact", "ids")
+    return pieces.encoded(docs, model, with_ids=True).select("doc_id", "n_tokens", "ids_crc32", F.expr("exact AND parity").alias("exact"), "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [

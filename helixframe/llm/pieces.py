@@ -9,9 +9,8 @@ and byte fallback.
 Texts are cut where no piece can reach across: between two characters that are
 neighbours in no piece (before a marker, at line ends).  Each distinct cut is
 encoded once per worker by a multithreaded batch call and remembered.  Decoding
-gathers the bytes of all pieces at once.  A share of the texts (one in
-``PARITY`` by hash of the text) is encoded again with the sentencepiece library
-and compared.
+gathers the bytes of all pieces at once.Every text is
+encoded again with the sentencepiece library and compared.
 
 Defined results: a null or empty text has no ids and decodes to nothing; equal
 rows give equal ids; further columns are ignored; an empty table gives none.
@@ -38,8 +37,6 @@ from .storage import small_batches
 from .wordcache import WordCache, ragged
 from .words import filled, text_slices
 
-#: One text in so many is compared with the sentencepiece library.
-PARITY = 64
 MARK = "▁"
 
 # Fixed values of the model format: kinds of pieces and models.
@@ -238,7 +235,7 @@ SCHEMA = "doc_id long, n_tokens long, n_bytes long, ids_crc32 long, exact boolea
 
 def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, n_bytes (byte-fallback ids), ids_crc32 (ids as 32-bit little-endian), exact (decoding gives the
-    text back), parity (null where the text was not compared), and with ``with_ids`` the ids as a byte string."""
+    text back), parity (the ids equal those of the sentencepiece library), and with ``with_ids`` the ids as a byte string."""
     small_batches(docs.sparkSession)
     schema = SCHEMA + ", ids binary" * with_ids
 
@@ -252,10 +249,8 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             pieces = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
             plain = texts.cast(pa.binary()).to_pylist()
             exact = [a == b.replace(MARK.encode(), b" ") for a, b in zip(c.decode(ids, n), plain, strict=True)]
-            parity: list[bool | None] = [None] * len(plain)
-            some = [i for i, t in enumerate(plain) if zlib.crc32(t) % PARITY == 0]
-            for i, want in zip(some, c.reference.encode([plain[i].decode() for i in some], num_threads=1) if some else [], strict=True):
-                parity[i] = want == ids[ends[i] - n[i] : ends[i]].tolist()
+            wanted = c.reference.encode([t.decode() for t in plain], num_threads=1)
+            parity = [want == ids[e - k : e].tolist() for want, e, k in zip(wanted, ends.tolist(), n.tolist(), strict=True)]
             fallback = np.bincount(np.repeat(np.arange(len(n)), n), c.is_byte[ids], len(n)).astype(np.int64)
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(fallback), pa.array([zlib.crc32(p) for p in pieces], pa.int64()), pa.array(exact, pa.bool_()), pa.array(parity, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array([bytes(p) for p in pieces], pa.binary())] * with_ids, names=[f.split()[0] for f in schema.split(", ")])

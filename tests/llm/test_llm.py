@@ -286,6 +286,12 @@ def test_pieces_equal_the_library_and_round_trip(spark):
     assert pieces.encoded(documents(spark, EMPTY), path).count() == 0
 
 
+def test_every_text_is_compared_with_the_library(spark):
+    rows = list(enumerate(["", "one", "two words", "日本 🎉", "a  b   c\n\n d"] + [f"text number {i}" for i in range(40)]))
+    got = pieces.encoded(documents(spark, rows), P.path("piece_bpe_32k.model")).collect()
+    assert len(got) == len(rows) and all(r["parity"] is True for r in got)
+
+
 def test_unigram_models_keep_scores_and_byte_fallback():
     field = lambda n, data: bytes([n << 3 | 2, len(data)]) + data
     piece = lambda text, score, kind: field(1, field(1, text.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + bytes([3 << 3, kind]))
