@@ -11,21 +11,27 @@ document at an earlier start) is removed; windows are judged on the input.
    others.
 2. Pieces.  The windows that share an anchor occurrence form a piece.  Windows
    that also start earlier within the same slice of documents are settled on the
-   spot; a piece goes on only if it holds the slice's first occurrence of a
-   window.  So a passage of which there are thousands of copies sends one piece
-   per slice, not one per copy.
-3. Automata.  Pieces are dealt out by anchor.  A shard takes about ``SHARD``
-   pieces, confirms the windows that recur among them word by word, compiles
-   them into an automaton (pyahocorasick over word numbers), and streams its
-   pieces through it to locate every occurrence.  All but the first of each
-   window go back to their documents.
-4. Documents drop the covered words.
+   spot, word by word; a piece goes on only if it holds the slice's first
+   occurrence of a window.  So a passage of which there are thousands of copies
+   sends one piece per slice, not one per copy.
+3. Automata.  Pieces go to the shard that holds their anchor, about ``SHARD`` of
+   them to each.  The shard confirms by hash counts which windows may recur,
+   compiles one occurrence of each into an automaton (pyahocorasick, one letter
+   a word), and streams every piece through it.  What the automaton reports are
+   the occurrences, compared word by word; all but the first go back to their
+   documents.
+4. Hot anchors.  An anchor with more than ``HOT`` pieces (a phrase shorter than a
+   window in very many surroundings) is not gathered in one place: its windows
+   are counted by their 128-bit hashes with partial aggregates, which confirm the
+   windows that recur and their first places, and each batch of occurrences
+   streams through an automaton of the confirmed windows that it meets.
+5. Documents drop the covered words.
 
 Words are compared by 32 bits of their hash, 20 in a row and with equal 64-bit
 anchors.
 
 Defined results: a null or empty text has no words; a null doc_id counts as the
-smallest; repeated rows start at the same place, so neither removes the other;
+least long; repeated rows start at the same place, so neither removes the other;
 rows of one doc_id with different texts are separate texts of equal rank; an
 empty table gives an empty result; further columns are ignored.
 """
@@ -43,20 +49,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import dropped, released, small_batches, stored
-from .words import Words, covered, filled, inside, text_slices, windows, words_of
+from .words import Words, covered, filled, inside, mixed, text_slices, windows, words_of
 
 WINDOW, ANCHOR = 20, 10
 SPREAD = WINDOW - ANCHOR + 1
-#: Pieces of one automaton; a shard ends where the anchor changes.
-SHARD = 4_000
+#: Pieces of one automaton; a shard ends where the anchor changes, and no anchor in it has more than ``HOT`` pieces.
+SHARD, HOT = 1_000, 1_000
 _FIRST = -(1 << 63)
 
 
-def _tags(texts: pa.Array) -> np.ndarray:
-    """Sixteen bits of a hash of each text: tells rows of one doc_id apart."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(t) & 0xFFFF for t in texts.cast(pa.binary()).to_pylist()), np.int64, len(texts))
-
-
 def _anchored(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of a slice: document, first window, number of windows, anchor (a word of the slice), anchor hash."""
     starts = inside(w.bounds, WINDOW)
@@ -84,17 +85,16 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _anchor_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """place: 16 bits tag, 32 bits first window, 8 bits anchor offset, 8 bits number of windows."""
+    """place: first window, 8 bits anchor offset, 8 bits number of windows."""
     for batch in text_slices(batches):
-        texts = filled(batch.column("text"))
-        w = words_of(texts)
+        w = words_of(batch.column("text"))
         doc, first, count, at, h = _anchored(w)
-        place = _tags(texts)[doc] << 48 | (first - w.bounds[doc]) << 16 | (at - first) << 8 | count
-        ids = pc.fill_null(batch.column("doc_id").cast(pa.int64()), _FIRST).take(pa.array(doc))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(place)], names=["anchor", "doc_id", "place"])
+        place = (first - w.bounds[doc]) << 16 | (at - first) << 8 | count
+        rows = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(place)], names=["anchor", "doc_id", "tag", "place"])
 
 
-_DOCUMENT = "doc_id long, tag long, text string, n_words long, kept_sha256 string, settled binary, pieces array<struct<anchor:long,pos:int,mask:int,words:binary>>"
+_DOCUMENT = "doc_id long, tag long, no_id boolean, text string, n_words long, kept_sha256 string, settled binary, pieces array<struct<anchor:long,pos:int,mask:int,words:binary>>"
 _PIECE = pa.struct([("anchor", pa.int64()), ("pos", pa.int32()), ("mask", pa.int32()), ("words", pa.binary())])
 
 
@@ -114,16 +114,13 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = filled(batch.column("text"))
         n = len(texts)
         w = words_of(texts)
-        tags = _tags(texts)
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         places = batch.column("places")
         doc = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False))
         place = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        own = (place >> 48 & 0xFFFF) == tags[doc]
-        doc, place = doc[own], place[own]
         order = np.lexsort((place, doc))
         doc, place = doc[order], place[order]
-        pos, shift, count = place >> 16 & 0xFFFFFFFF, place >> 8 & 255, place & 255
+        pos, shift, count = place >> 16, place >> 8 & 255, place & 255
         start = pos + w.bounds[doc]
 
         h = w.hashes() if len(w.codes) else np.zeros(0, np.uint64)
@@ -136,8 +133,11 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.ones(len(order), bool)
         lead[1:] = whole[order][1:] != whole[order][:-1]
         leader = order[np.flatnonzero(lead)][np.cumsum(lead) - 1] if len(order) else order
+        same = np.ones(len(order), bool)
+        for j in range(WINDOW):
+            same &= w.codes[at[order] + j] == w.codes[at[leader] + j]
         first = np.zeros(len(order), bool)
-        first[order] = (here_id[order] == here_id[leader]) & (here_pos[order] == here_pos[leader])
+        first[order] = ~same | (here_id[order] == here_id[leader]) & (here_pos[order] == here_pos[leader])
 
         mask = np.zeros(len(doc), np.int64)
         np.bitwise_or.at(mask, piece[first], 1 << step[first])
@@ -159,84 +159,147 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids),
-                pa.array(tags),
-                pc.if_else(plain, None, texts),
+                batch.column("tag"),
+                batch.column("no_id"),
+                pc.if_else(plain, pa.nulls(n, pa.string()), texts),
                 pa.array(w.counts),
                 pa.array([None if c else next(digests) for c in candidate.tolist()], pa.string()),
                 pa.array(settled, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(bounds), rows),
             ],
-            names=["doc_id", "tag", "text", "n_words", "kept_sha256", "settled", "pieces"],
+            names=["doc_id", "tag", "no_id", "text", "n_words", "kept_sha256", "settled", "pieces"],
         )
 
 
-Piece = tuple[int, int, int, int, bytes]  # doc_id, tag, pos, mask, words
+def _lettered(words: np.ndarray) -> str:
+    """One letter for each number; what stands for surrogates in Unicode is left out."""
+    return np.where(words < 0xD800, words, words + 0x800).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def located(pieces: list[Piece]) -> Iterator[tuple[int, int, int, int]]:
-    """(doc_id, tag, pos, mask) of the windows in these pieces that also start earlier."""
+def occurrences(text: str, phrases: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, number of the phrase) of every occurrence of the different phrases of WINDOW letters, by an automaton."""
     import ahocorasick
 
-    size = 4 * WINDOW
-    same: dict[bytes, list[int]] = {}
-    for i, p in enumerate(pieces):
-        same.setdefault(p[4], []).append(i)
-    # Confirm: which windows occur at two places.
-    met: dict[bytes, int] = {}
-    for words, members in same.items():
-        for at in range(0, len(words) - size + 1, 4):
-            phrase = words[at : at + size]
-            met[phrase] = met.get(phrase, 0) + len(members)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    n = 0
-    for phrase, times in met.items():
-        if times > 1:
-            automaton.add_word(tuple(np.frombuffer(phrase, "<u4").tolist()), n)
-            n += 1
-    if not n:
-        return
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for number, phrase in enumerate(phrases):
+        automaton.add_word(phrase, number)
     automaton.make_automaton()
-    found: dict[bytes, list[tuple[int, int]]] = {}
-    least: list[tuple[int, int] | None] = [None] * n
-    for words, members in same.items():
-        hits = [(end - WINDOW + 1, number) for end, number in automaton.iter(tuple(np.frombuffer(words, "<u4").tolist()))]
-        found[words] = hits
-        for i in members:
-            doc_id, _, pos, mask, _ = pieces[i]
-            for at, number in hits:
-                here = (doc_id, pos + at)
-                if mask >> at & 1 and (least[number] is None or here < least[number]):
-                    least[number] = here
-    for words, members in same.items():
-        for i in members:
-            doc_id, tag, pos, mask, _ = pieces[i]
-            late = 0
-            for at, number in found[words]:
-                if mask >> at & 1 and least[number] < (doc_id, pos + at):
-                    late |= 1 << at
-            if late:
-                yield doc_id, tag, pos, late
+    hits = np.fromiter((x for hit in automaton.iter(text) for x in hit), np.int64).reshape(-1, 2)
+    return hits[:, 0] - WINDOW + 1, hits[:, 1]
+
+
+def _streamed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, str]:
+    """The words of pieces as numbers from 1 and as one text, a 0 after each piece, and the piece of each place."""
+    sizes = np.array([len(x) // 4 + 1 for x in words], np.int64)
+    _, codes = np.unique(np.frombuffer(b"".join(words), "<u4"), return_inverse=True)
+    ends = np.cumsum(sizes) - 1
+    stream = np.zeros(int(sizes.sum()), np.int64)
+    inner = np.ones(len(stream), bool)
+    inner[ends] = False
+    stream[inner] = codes + 1
+    return stream, np.repeat(np.arange(len(words)), sizes), _lettered(stream)
+
+
+def located(doc_id: np.ndarray, pos: np.ndarray, mask: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, offset) of the windows in these pieces that also start earlier."""
+    stream, piece, text = _streamed(words)
+    begin = np.searchsorted(piece, np.arange(len(words)))
+
+    def asked(at: np.ndarray) -> np.ndarray:
+        offset = at - begin[piece[at]]
+        return (offset < SPREAD) & (mask[piece[at]] >> np.minimum(offset, SPREAD) & 1 > 0)
+
+    # Confirm: which windows may start at two places.
+    at = np.arange(len(stream) - WINDOW)
+    at = at[asked(at)]
+    _, lead, times = np.unique(windows(mixed(stream.astype(np.uint64)), WINDOW)[at], return_index=True, return_counts=True)
+    phrases = list(dict.fromkeys(text[i : i + WINDOW] for i in at[lead[times > 1]].tolist()))
+    if not phrases:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # Locate: every occurrence of them in the stream.
+    at, number = occurrences(text, phrases)
+    kept = asked(at)
+    at, number = at[kept], number[kept]
+    offset = at - begin[piece[at]]
+    here_id, here_pos = doc_id[piece[at]], pos[piece[at]] + offset
+    order = np.lexsort((here_pos, here_id, number))
+    lead = np.ones(len(order), bool)
+    lead[1:] = number[order][1:] != number[order][:-1]
+    leader = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+    late = order[(here_id[order] != here_id[leader]) | (here_pos[order] != here_pos[leader])]
+    return piece[at[late]], offset[late]
+
+
+_LATE = "doc_id long, tag long, pos int, mask int"
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(pieces: list[Piece]) -> pa.RecordBatch:
-        rows = list(located(pieces))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "tag", "pos", "mask"])
+    """The late windows of pieces that are sorted by anchor."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        shard = pa.Table.from_batches(held).combine_chunks()
+        doc_id, pos, mask = (shard.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "pos", "mask"))
+        piece, offset = located(doc_id, pos, mask, shard.column("words").to_pylist())
+        late = np.zeros(shard.num_rows, np.int64)
+        np.bitwise_or.at(late, piece, 1 << offset)
+        some = np.flatnonzero(late)
+        rows = shard.select(["doc_id", "tag", "pos"]).take(pa.array(some)).append_column("mask", pa.array(late[some].astype(np.int32)))
+        return rows.combine_chunks().to_batches()[0] if len(some) else pa.RecordBatch.from_pylist([], rows.schema)
+
+    held: list[pa.RecordBatch] = []
+    total, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor = batch.column("anchor").to_numpy()
+        opens = np.flatnonzero(np.append([anchor[0] != last], anchor[1:] != anchor[:-1]))
+        at = 0
+        for cut in opens.tolist():
+            if total + cut - at >= SHARD:
+                if cut > at:
+                    held.append(batch.slice(at, cut - at))
+                yield out(held)
+                held, total, at = [], 0, cut
+        held.append(batch.slice(at))
+        total += batch.num_rows - at
+        last = anchor[-1]
+    if held:
+        yield out(held)
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of pieces that their slice has not settled, one row each, with 128 bits of a hash."""
+    for batch in batches:
+        words = batch.column("words").to_pylist()
+        mask = batch.column("mask").to_numpy().astype(np.int64)
+        piece, offset = np.nonzero(mask[:, None] >> np.arange(SPREAD) & 1)
+        rows = pa.array(piece)
+        cut = [words[i][4 * j : 4 * (j + WINDOW)] for i, j in zip(piece.tolist(), offset.tolist(), strict=True)]
+        keys = np.array([divmod(xxhash.xxh3_128_intdigest(c), 1 << 64) for c in cut], np.uint64).reshape(-1, 2).view(np.int64)
+        places = pa.array((batch.column("pos").to_numpy()[piece] + offset).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[:, 0]), pa.array(keys[:, 1]), batch.column("doc_id").take(rows), batch.column("tag").take(rows), places, pa.array(cut, pa.binary())],
+            names=["w1", "w2", "doc_id", "tag", "pos", "words"],
+        )
 
-    shard: list[Piece] = []
-    last = None
+
+def _late_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The late ones among windows that meet the confirmed windows (phrase) and their first places."""
     for batch in batches:
-        anchors = batch.column("anchor").to_pylist()
-        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "pos", "mask", "words")), strict=True)
-        for anchor, row in zip(anchors, rows, strict=True):
-            if anchor != last and len(shard) >= SHARD:
-                yield out(shard)
-                shard = []
-            shard.append(row)
-            last = anchor
-    if shard:
-        yield out(shard)
+        n = batch.num_rows
+        stream, piece, text = _streamed(batch.column("phrase").to_pylist() + batch.column("words").to_pylist())
+        begin = np.searchsorted(piece, np.arange(2 * n)).tolist()
+        number: dict[str, int] = {}
+        for i in range(n):
+            number.setdefault(text[begin[i] : begin[i] + WINDOW], i)
+        at, hit = occurrences(text, list(number))
+        first = np.array(list(number.values()), np.int64)[hit]
+        row = piece[at] - n
+        first, row = first[row >= 0], row[row >= 0]
+        columns = {c: batch.column(c).to_numpy() for c in ("doc_id", "pos", "first_id", "first_pos")}
+        late = row[(columns["doc_id"][row] != columns["first_id"][first]) | (columns["pos"][row] != columns["first_pos"][first])]
+        rows = batch.select(["doc_id", "tag", "pos"]).take(pa.array(late))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.ones(len(late), np.int32))], names=["doc_id", "tag", "pos", "mask"])
 
 
 def _cleared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,43 +319,56 @@ def _cleared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed = np.bincount(w.doc, ~keep, batch.num_rows).astype(np.int64)
         kept = _joined(w, keep)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(w.counts), pa.array(removed), pa.array(_digests(kept), pa.string()), kept],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+            [batch.column("doc_id"), batch.column("no_id"), pa.array(w.counts), pa.array(removed), pa.array(_digests(kept), pa.string()), kept],
+            names=["doc_id", "no_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
         )
 
 
-def _deduplicated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _late(pieces: DataFrame, hot: int) -> DataFrame:
+    """doc_id, tag, pos, mask of the windows of the pieces that also start earlier."""
+    spark = pieces.sparkSession
+    often = stored(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor"), "phrase-hot")
+    usual = pieces.join(often, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_located, _LATE)
+    late = stored(usual, "phrase-late")
+    single = stored(pieces.join(often, "anchor", "left_semi").mapInArrow(_single, "w1 long, w2 long, doc_id long, tag long, pos int, words binary"), "phrase-single")
+    confirmed = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos", "words")).alias("f")).where("n > 1")
+    met = single.join(confirmed.select("w1", "w2", F.expr("f.doc_id").alias("first_id"), F.expr("f.pos").alias("first_pos"), F.expr("f.words").alias("phrase")), ["w1", "w2"])
+    late_single = stored(met.mapInArrow(_late_single, _LATE), "phrase-late-single")
+    dropped(spark, often, single)
+    return late.union(late_single)
+
+
+def _deduplicated(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Documents that lose nothing (without text) and the others with their kept text."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", "text")
-    counts = rows.mapInArrow(_anchor_counts, "anchor long, n int")
+    no_id = F.col("doc_id").isNull()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc_id"), F.xxhash64("text", no_id).alias("tag"), no_id.alias("no_id"), "text")
+    counts = rows.select("text").mapInArrow(_anchor_counts, "anchor long, n int")
     recurring = stored(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "phrase-anchors")
     released(spark)
-    places = rows.mapInArrow(_anchor_places, "anchor long, doc_id long, place long").join(recurring, "anchor", "left_semi")
-    places = stored(places.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "phrase-places")
+    places = rows.select("doc_id", "tag", "text").mapInArrow(_anchor_places, "anchor long, doc_id long, tag long, place long").join(recurring, "anchor", "left_semi")
+    places = stored(places.groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places")), "phrase-places")
     released(spark)
-    named = rows.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"), "text")
-    table = stored(named.join(places, "doc_id", "left").mapInArrow(_pieces, _DOCUMENT), "phrase-pieces")
+    table = stored(rows.join(places, ["doc_id", "tag"], "left").mapInArrow(_pieces, _DOCUMENT), "phrase-pieces")
     dropped(spark, recurring, places)
     released(spark)
     pieces = table.where("size(pieces) > 0").select("doc_id", "tag", F.explode("pieces").alias("p")).select("p.anchor", "doc_id", "tag", "p.pos", "p.mask", "p.words")
-    late = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_located, "doc_id long, tag long, pos int, mask int")
-    late = stored(late, "phrase-late")
+    late = _late(pieces, hot)
     released(spark)
-    late = late.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "mask")).alias("late"))
-    open_ = table.where("text IS NOT NULL").select("doc_id", "tag", "text", "settled").join(late, ["doc_id", "tag"], "left")
-    cleared = open_.select("doc_id", "text", "settled", "late").mapInArrow(_cleared, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    late = late.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("pos", "mask")).alias("late"))
+    open_ = table.where("text IS NOT NULL").select("doc_id", "tag", "no_id", "text", "settled").join(late, ["doc_id", "tag"], "left")
+    cleared = open_.select("doc_id", "no_id", "text", "settled", "late").mapInArrow(_cleared, "doc_id long, no_id boolean, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return table.where("text IS NULL"), cleared
 
 
 def _id() -> Column:
-    return F.when(F.col("doc_id") != _FIRST, F.col("doc_id")).alias("doc_id")
+    return F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    plain, cleared = _deduplicated(docs)
+    plain, cleared = _deduplicated(docs, hot)
     plain = plain.select(_id(), "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return plain.union(cleared.select(_id(), "n_words", "n_removed", "kept_sha256"))
 

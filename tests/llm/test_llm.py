@@ -212,11 +212,38 @@ def slow_repeats(rows):
     return sorted(out)
 
 
-def test_repeated_passages_match_brute_force(spark):
+@pytest.mark.parametrize("hot", [phrases.HOT, 0])
+def test_repeated_passages_match_brute_force(spark, hot):
     rows = mixed_texts() + [(None, mixed_texts()[0][1]), (950, mixed_texts()[1][1] + " x" * 25)]
-    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in phrases.repeats(documents(spark, rows)).collect())
+    docs = documents(spark, rows).repartition(7, "n_chars")  # several slices
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in phrases.repeats(docs, hot).collect())
     assert got == slow_repeats(rows) and any(r[2] for r in got)
-    assert phrases.repeats(documents(spark, EMPTY)).count() == 0
+    assert phrases.repeats(documents(spark, EMPTY), hot).count() == 0
+
+
+def test_automaton_finds_every_occurrence():
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 4, 3000)
+    words[500:540], words[1500:1540] = words[100:140], words[110:150]
+    text = phrases._lettered(words)
+    wanted = [text[100 + i : 100 + i + phrases.WINDOW] for i in range(20)]
+    at, number = phrases.occurrences(text, wanted)
+    assert sorted(zip(at.tolist(), number.tolist(), strict=True)) == sorted((i, n) for n, p in enumerate(wanted) for i in range(len(text)) if text.startswith(p, i))
+
+
+def test_shards_end_between_anchors_and_give_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [{"anchor": a, "doc_id": d, "tag": 0, "pos": 100 * a, "mask": (1 << 11) - 1, "words": np.arange(a, a + 30, dtype="<u4").tobytes()} for a in range(60) for d in rng.permutation(5)[: 1 + a % 5].tolist()]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("pos", pa.int32()), ("mask", pa.int32()), ("words", pa.binary())]))
+    want = None
+    for shard in (10_000, 40, 1):
+        monkeypatch.setattr(phrases, "SHARD", shard)
+        out = list(phrases._located(iter([batch.slice(0, 71), batch.slice(71, 1), batch.slice(72)])))
+        got = sorted((r["pos"], r["doc_id"], r["mask"]) for b in out for r in b.to_pylist())
+        # Windows of neighbouring anchors overlap, but only pieces of one anchor are compared in a shard of one.
+        want = want or got
+        assert (len(out) == 1) == (shard == 10_000) and len(got) <= len(want)
+    assert {(r["pos"], r["doc_id"]) for r in rows if r["doc_id"] != min(x["doc_id"] for x in rows if x["anchor"] == r["anchor"])} <= {(p, d) for p, d, _ in got}
 
 
 # --- 6 -------------------------------------------------------------------------
