@@ -16,18 +16,21 @@ distinct five-word shingles (the whole sequence if it has fewer words).
 5. The exact rest: a star whose centre is not similar to two similar members must
    lose no link.  Where members of one star are in different components, a better
    centre is chosen and sends a second star (``second_star``).  Members that are
-   still apart are compared by what they add to that centre: only pairs that can
-   meet the threshold, by the sizes of their overlaps with the centre and of
-   their common additions, are tested too (``untested``).
-6. Components by minimum labels with pointer jumping.
+   still apart are compared by what tells them from that centre: the overlap of
+   two members follows from the sizes of both differences and of what these
+   share, so a prefix filter on the differences leaves only pairs that can meet
+   the threshold, and those are tested too (``untested``).
+6. Components by hooking to lesser neighbours, pointer jumping and contraction.
 
 Every shuffle key with many rows meets either a combinable aggregate or a join
-whose large partitions can be split; nothing but scalars reaches the driver.
+whose large partitions can be split; the text of a star's centre is dealt out to
+``SALTS`` places, and nothing but scalars reaches the driver.
 
 Defined results: a null text or one without words has an empty set and is linked
 with nothing; a row with a null doc_id is a component of its own; rows with the
-same doc_id are one document; an empty table gives an empty result; further
-columns are ignored.
+same doc_id are one document, with the text of the least hash where they differ,
+and all get its result; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ SHINGLE = 5
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 PERCENT = 75
+#: Places that the text of a star's centre goes to, by a hash of the member.
+SALTS = 64
 
 
 def _orders() -> np.ndarray:
@@ -123,14 +128,14 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = pa.array(bands.view(np.int64).reshape(-1))
         offsets = pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), *digest, pa.ListArray.from_arrays(offsets, flat)],
-            names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+            [batch.column("doc_id").cast(pa.int64()), batch.column("tag"), pa.array(size.astype(np.int64)), *digest, pa.ListArray.from_arrays(offsets, flat)],
+            names=["doc_id", "tag", "n_shingles", "d1", "d2", "bands"],
         )
 
 
 def sketched(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_sketched, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(_sketched, "doc_id long, tag long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def _set_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
@@ -156,21 +161,31 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _flat(batch: pa.RecordBatch, own: list[np.ndarray]) -> pa.RecordBatch:
+    times = pa.array(np.repeat(np.arange(len(own)), [len(o) for o in own]))
+    return pa.RecordBatch.from_arrays([batch.column("a").take(times), batch.column("b").take(times), pa.array(np.concatenate(own).view(np.int64))], names=["a", "b", "s"])
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b, s: the shingles of b that a lacks."""
     for batch, sets in _set_pairs(batches):
-        own = [y[~np.isin(y, x, assume_unique=True)] for x, y in sets]
-        times = pa.array(np.repeat(np.arange(len(own)), [len(o) for o in own]))
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(times), batch.column("b").take(times), pa.array(np.concatenate(own).view(np.int64))], names=["a", "b", "s"])
+        yield _flat(batch, [y[~np.isin(y, x, assume_unique=True)] for x, y in sets])
+
+
+def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, s: the shingles that only one of a and b has."""
+    for batch, sets in _set_pairs(batches):
+        yield _flat(batch, [np.setxor1d(y, x, assume_unique=True) for x, y in sets])
 
 
 LINKED = f"common > 0 AND 100 * common >= {PERCENT} * (n_a + n_b - common)"
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    first = salted.select("a", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
+    return salted.join(second, "b").join(first, ["a", "salt"]).select("a", "b", "text_a", "text_b")
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -179,12 +194,12 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _apart(star: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b, n_b, common, component, hub_component, least_n, m: members of stars that are not in one component yet."""
-    placed = star.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "b", "n_b", "common", F.coalesce("component", "b").alias("component"))
+    """a, b, n_a, n_b, common, component, hub_component, m: members of stars that are not in one component yet."""
+    placed = star.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     hub = labels.select(F.col("node").alias("a"), F.col("component").alias("hub_component"))
     placed = placed.join(hub, "a", "left").withColumn("hub_component", F.coalesce("hub_component", "a"))
-    apart = placed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_b").alias("least_n"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 1")
-    return placed.join(apart.select("a", "least_n", "m"), "a")
+    apart = placed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 1")
+    return placed.join(apart.select("a", "m"), "a")
 
 
 def second_star(star: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -205,97 +220,125 @@ def second_star(star: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFra
 def untested(star: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of one star, in different components, that can be linked at all.
 
-    ``star`` has the measured pairs of each centre with its members.  Two members
-    x and y share at most what both share with the centre and what both add to
-    it, so they can only be linked if
+    ``star`` has the measured pairs of each centre with its members.  Members x
+    and y are linked if they share at least 3/7 * (n_x + n_y) shingles
+    (100 * common >= 75 * union).  With D_x, the shingles that only one of x and
+    the centre has, they share common_x + common_y - n_a + |D_x & D_y|, hence
 
-    * the centre's part alone suffices: 7 * least(common_x, common_y) >= 3 * (n_x + n_y), or
-    * they add a common shingle, and then the rarest of those lies among the
-      first n - 3/7 * (n_x + n_y) + 1 of either one's shingles (prefix filter)
+    * without a common difference they are linked if the slacks
+      7 * common - 3 * n of both come to 7 * n_a.  The member with the largest
+      slack then is linked with both: a star from it joins all such pairs;
+    * else the differences share at least
+      need = ceil(3/7 * (n_x + n_y)) + n_a - common_x - common_y >= 1, so the rarest
+      that they share lies among the first |D| - need + 1 of either (prefix filter).
 
-    (100 * common >= 75 * union is 7 * common >= 3 * (n_x + n_y)).  Both joins
-    leave out what cannot meet the bound, so copies with edits of their own make
-    no pairs; nothing that meets it is left out.
+    Nothing that meets the threshold is left out, and copies with edits of their
+    own, which share no rare difference, make no pairs.
     """
-    spare, fits = F.expr("7 * common - 3 * n_b"), F.expr("7 * least(x.common, y.common) >= 3 * (x.n_b + y.n_b)")
-    members = stored(_apart(star, labels), "minhash-apart")
-    able = members.where(spare >= 3 * F.col("least_n"))
-    outside = able.where("component <> hub_component").alias("x")
-    by_hub = outside.join(able.alias("y"), "a").where((F.col("x.component") != F.col("y.component")) & fits).select(F.col("x.b").alias("x"), F.col("y.b").alias("y"))
-
-    added = stored(_with_texts(members, texts).mapInArrow(_added, "a long, b long, s long"), "minhash-added")
-    tagged = added.join(members.select("a", "b", "n_b", "component", "hub_component", "least_n"), ["a", "b"])
+    members = _apart(star, labels).withColumn("slack", F.expr("7 * common - 3 * n_b")).withColumn("n_d", F.expr("n_a + n_b - 2 * common"))
+    members = stored(members, "minhash-apart")
+    best = members.groupBy("a").agg(F.max(F.struct("slack", (-F.col("b")).alias("least"), "component")).alias("best"))
+    best = best.select("a", F.expr("best.slack").alias("most"), (-F.expr("best.least")).alias("centre"), F.expr("best.component").alias("centre_component"))
+    near = members.join(best, "a").where("component <> centre_component AND slack + most >= 7 * n_a").select(F.col("centre").alias("x"), F.col("b").alias("y"))
+
+    differing = stored(_with_texts(members, texts).mapInArrow(_differing, "a long, b long, s long"), "minhash-differing")
+    tagged = differing.join(members.select("a", "b", "n_a", "n_b", "n_d", "common", "slack", "component", "hub_component"), ["a", "b"])
     usual = tagged.groupBy("a", "s").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    # Additions in the order of their frequency come before the centre's shingles.  The first shingle that a linked
-    # pair shares has the rest of the required overlap behind it, so it lies in the prefix of both.
     place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "s"))
-    least = F.greatest(F.col("least_n"), F.ceil(0.75 * F.col("n_b")))
-    prefix = tagged.join(usual, ["a", "s"]).withColumn("place", place).where(F.col("place") <= F.col("n_b") - F.ceil(3 * (F.col("n_b") + least) / 7) + 1)
-    prefix = prefix.where("lo <> hi").select("a", "b", "s", "component", "hub_component")
+    prefix = tagged.join(usual, ["a", "s"]).withColumn("place", place).join(best.select("a", "most"), "a")
+    prefix = prefix.where("lo <> hi AND place <= n_d - ceil((7 * n_a - slack - most) / 7) + 1").select("a", "b", "s", "n_a", "n_b", "n_d", "common", "component", "hub_component", "place")
     left, right = prefix.where("component <> hub_component").alias("x"), prefix.alias("y")
     # A member counts from the side outside the centre's component; two outside members meet once, by component.
     once = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.hub_component")) | (F.col("x.component") < F.col("y.component")))
-    met = left.join(right, (F.col("x.a") == F.col("y.a")) & (F.col("x.s") == F.col("y.s")) & once)
-    by_added = met.select(F.col("x.b").alias("x"), F.col("y.b").alias("y"))
-    return by_hub.union(by_added).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    need = "ceil(3 * (x.n_b + y.n_b) / 7) + x.n_a - x.common - y.common"
+    able = F.expr(f"x.place <= x.n_d - ({need}) + 1 AND y.place <= y.n_d - ({need}) + 1")
+    met = left.join(right, (F.col("x.a") == F.col("y.a")) & (F.col("x.s") == F.col("y.s")) & once & able)
+    pairs = near.union(met.select(F.col("x.b").alias("x"), F.col("y.b").alias("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component): the least node that can be reached, for every node of an edge (a, b)."""
+    """(node, component): the least node that can be reached, for every node of an edge (a, b).
+
+    Each node hooks to its least lesser neighbour, pointers are doubled until they reach roots, and edges are
+    contracted to edges between roots, until none is left.  The least node of a component is never hooked.
+    """
     spark = edges.sparkSession
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), f"{name}-labels")
-    while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        nearer = labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        step = nearer.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
-        step = stored(step, f"{name}-labels")
-        moved = step.where("component <> old").limit(1).count()
-        dropped(spark, labels)
-        labels = step.select("node", "component")
-        if not moved:
-            dropped(spark, both)
-            return labels
+    ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = stored(edges.select(*ends).where("a < b").distinct(), f"{name}-edges")
+    labels = None
+    while not edges.isEmpty():
+        roots = stored(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), f"{name}-roots")
+        while True:
+            further = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            step = stored(roots.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), f"{name}-roots")
+            dropped(spark, roots)
+            roots, moved = step.select("node", "root"), not step.where("moved").isEmpty()
+            if not moved:
+                break
+        to_a, to_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        between = edges.join(to_b, "b", "left").join(to_a, "a", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        between = stored(between.select(*ends).where("a < b").distinct(), f"{name}-edges")
+        dropped(spark, edges)
+        edges = between
+        if labels is None:
+            labels = roots.select("node", F.col("root").alias("component"))
+        else:
+            moved_on = labels.join(roots.select(F.col("node").alias("component"), "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            labels = stored(moved_on.union(roots), f"{name}-labels")
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = labels.select(F.col("component").alias("node"), "component").distinct()
+    return stored(labels.union(found), f"{name}-labels")
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     spark = docs.sparkSession
-    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    sketch = stored(sketched(docs), "minhash-sketch")
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("tag"))
     key = ["d1", "d2", "n_shingles"]
+    rows = stored(sketched(docs), "minhash-sketch")
+    # Rows of one doc_id with different texts count with the text of the least hash.
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("tag").alias("own"), F.max("tag").alias("other")).where("own <> other").select("doc_id", "own")
+    several = stored(several, "minhash-several")
+    sketch = rows.join(several, "doc_id", "left").where("own IS NULL OR own = tag").drop("own")
     classes = sketch.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "minhash-classes")
 
     leaders = sketch.join(classes.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key], "left_semi")
-    rows = stored(leaders.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket")).distinct(), "minhash-buckets")
-    hubs = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub")
-    shared = stored(rows.join(hubs, "bucket"), "minhash-shared")
-    star = stored(shared.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-star")
-    texts = stored(named.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
-    star = stored(measured(star, texts), "minhash-measured")
-    dropped(spark, rows, shared)
+    buckets = stored(leaders.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket")).distinct(), "minhash-buckets")
+    hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub")
+    shared = stored(buckets.join(hubs, "bucket"), "minhash-shared")
+    candidates = stored(shared.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-star")
+    tags = leaders.select("doc_id", "tag").join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
+    texts = stored(named.join(tags, ["doc_id", "tag"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "minhash-texts")
+    star = stored(measured(candidates, texts), "minhash-measured")
+    dropped(spark, buckets, shared, candidates)
     released(spark)
-    links = star.where(LINKED).select("a", "b")
-    labels = components(links, "minhash-first")
+    first = components(star.where(LINKED).select("a", "b"), "minhash-first")
     # The exact rest: members of one star that are still in different components.
-    again = stored(measured(stored(second_star(star, labels, texts), "minhash-second"), texts), "minhash-measured")
-    links = links.union(again.where(LINKED).select("a", "b"))
-    labels = components(links, "minhash-next")
+    second = stored(second_star(star, first, texts), "minhash-second")
+    again = stored(measured(second, texts), "minhash-measured")
+    labels = components(_as_edges(first).union(again.where(LINKED).select("a", "b")), "minhash-next")
     pairs = stored(untested(again, labels, texts), "minhash-rest")
-    more = measured(pairs, texts).where(LINKED).select("a", "b")
-    labels = components(links.union(stored(more, "minhash-more")), "minhash-all")
-    dropped(spark, texts, star, again, pairs)
+    more = stored(measured(pairs, texts).where(LINKED).select("a", "b"), "minhash-more")
+    last = components(_as_edges(labels).union(more), "minhash-all")
+    dropped(spark, texts, star, second, again, pairs, more, first, labels)
 
-    of_class = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    of_class = classes.join(last.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of_class = of_class.select(*key, F.coalesce("component", "rep").alias("component_id"))
-    found = sketch.select("doc_id", *key).join(of_class, key, "left")
+    found = sketch.join(several, "doc_id", "left_semi").select("doc_id", *(F.col(c).alias(f"own_{c}") for c in key)).distinct()
+    found = rows.select("doc_id", *key).join(found, "doc_id", "left").select("doc_id", *(F.coalesce(f"own_{c}", c).alias(c) for c in key))
+    found = found.join(of_class, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     found = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(component).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _as_edges(labels: DataFrame) -> DataFrame:
+    return labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def near_deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that are kept: one of each component."""
     gone = linked(docs).where(~F.col("kept")).select("doc_id").distinct()
