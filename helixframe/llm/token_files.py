@@ -28,6 +28,7 @@ the text; further columns are ignored; an empty table gives an empty file.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -36,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,6 +54,10 @@ MAGIC = b"HXT1"
 
 # --- encoding texts ------------------------------------------------------------
 
+# The parts of a tokenizer file for which words can be encoded one by one.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 #: Marks that never join letters in one pre-token.
 _STOPS = ".,;:!?%*&$#|"
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -70,11 +76,28 @@ def _byte_letters() -> list[str]:
     return letters
 
 
+def _by_words(spec: dict) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space and writes bytes as letters as the shortcuts below take it."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    split, letters = steps if len(steps) == 2 else ({}, {})
+    added = [t["content"] for t in spec.get("added_tokens") or [] if not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
+    return (
+        spec.get("normalizer") == WORD_NORMALIZER
+        and split == {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+        and letters.get("type") == "ByteLevel"
+        and not letters.get("add_prefix_space")
+        and not letters.get("use_regex")
+        and len(added) == len(spec.get("added_tokens") or [])
+        and all(not t[-1].isalpha() and t[-1] not in _STOPS and not re.search(r"\s", t) for t in added)
+    )
+
+
 class Encoder:
-    """Whole texts to ids through a ``tokenizers`` file whose pre-tokenizer drops white space.
+    """Whole texts to ids through a ``tokenizers`` file.
 
-    No token crosses white space, so words are encoded one by one and
-    remembered.  A word of Latin letters is one pre-token and goes straight to
+    Where the file says that no token crosses white space (``_by_words``), words
+    are encoded one by one and remembered; with any other file, whole texts are
+    encoded.  A word of Latin letters is one pre-token and goes straight to
     the model; a trailing run of stops after a letter is a pre-token of its own; all others take the whole pipeline.
     """
 
@@ -83,6 +106,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_words = _by_words(json.loads(self.tokenizer.to_str()))
         self.words, self.parts = WordCache(self._split), WordCache(self._encode)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
@@ -121,6 +145,9 @@ class Encoder:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``END`` after each text, and the number of ids of each text."""
+        if not self.by_words:
+            lists = [e.ids + [END] for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in lists for i in ids], np.uint32), np.array([len(ids) for ids in lists], np.int64)
         w = words_of(texts)
         ids = self.words.ids(w.distinct.to_pylist())
         ids.append(np.array([END], np.uint32).tobytes())
