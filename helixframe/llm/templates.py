@@ -13,9 +13,14 @@ distinct windows and whose slots are consistent: the values that stand for one v
 must agree in at least ``PERCENT`` % of the places, so a re-parameterised
 question is caught and an accidental template match is not.
 
-Documents are scanned once.  A bitmap of fixed size (``FILTER_BITS``) over the
-benchmark's window hashes drops windows that cannot join before anything is
-shuffled; it only saves work, the join decides.
+Documents are scanned once and what they hold of the benchmark's windows is
+stored.  A bitmap of fixed size (``FILTER_BITS``) over the benchmark's window
+hashes drops windows that cannot join before anything is shuffled; it only saves
+work, the joins decide.  A window that is common in the benchmark would join all
+its documents with all its items, so pairs of a document and an item first meet in
+the item's rarest windows: who holds ``PERCENT`` % of an item's windows holds one
+of those that are left without the ``PERCENT`` % most common.  Only such pairs are
+joined on all their windows.
 
 Defined results: null and empty texts have no windows; an item of fewer than
 ``WINDOW`` tokens is matched only by a document of exactly those tokens; rows
@@ -30,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import small_batches, stored
 from .words import Words, hashed, inside, mixed, text_slices, windows, words_of
 
 WINDOW = 5
@@ -174,14 +179,22 @@ def _bitmap(item_windows: DataFrame) -> bytes:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_slots, n_consistent, n_changed for every leaked item."""
-    small_batches(docs.sparkSession)
-    items = benchmark.where("item_id IS NOT NULL").select("item_id", "text").mapInArrow(_scanner("item_id", None), _SCHEMA)
-    bitmap = _bitmap(items)
-    found = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_scanner("doc_id", bitmap), _SCHEMA)
-    totals = items.groupBy(F.col("id").alias("item_id"), "form").agg(F.count_distinct("h").alias("n_windows"))
-    d = found.select("h", "form", F.col("id").alias("doc_id"), F.col("pos").alias("d_pos"), "size", F.col("slots").alias("d_slots"))
-    i = items.select("h", F.col("form").alias("i_form"), F.col("id").alias("item_id"), F.col("pos").alias("i_pos"), F.col("size").alias("i_size"), F.col("slots").alias("i_slots"))
-    hits = d.join(i, (d["h"] == i["h"]) & (d["size"] == i["i_size"]) & (d["form"] == i["i_form"])).select("doc_id", "item_id", "form", d["h"].alias("h"), "i_pos", "d_pos", "i_slots", "d_slots")
+    spark = docs.sparkSession
+    small_batches(spark)
+    items = stored(benchmark.where("item_id IS NOT NULL").select("item_id", "text").mapInArrow(_scanner("item_id", None), _SCHEMA), "template-items")
+    found = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_scanner("doc_id", _bitmap(items)), _SCHEMA)
+    found = stored(found.select("h", "form", F.col("id").alias("doc_id"), F.col("pos").alias("d_pos"), "size", F.col("slots").alias("d_slots")), "template-windows")
+    windows = items.select("form", "h", F.col("id").alias("item_id")).distinct()
+    common = windows.groupBy("form", "h").agg(F.count(F.lit(1)).alias("f"))
+    own = Window.partitionBy("item_id", "form")
+    ranked = windows.join(common, ["form", "h"]).select("*", F.row_number().over(own.orderBy("f", "h")).alias("place"), F.count(F.lit(1)).over(own).alias("n_windows"))
+    ranked = stored(ranked, "template-ranked")
+    totals = ranked.where("place = 1").select("item_id", "form", "n_windows")
+    rare = ranked.where(f"place <= n_windows - ceil({PERCENT} * n_windows / 100) + 1").select("form", "h", "item_id")
+    pairs = found.select("form", "h", "doc_id").distinct().join(rare, ["form", "h"]).select("form", "doc_id", "item_id").distinct()
+    i = items.select("h", "form", F.col("id").alias("item_id"), F.col("pos").alias("i_pos"), "size", F.col("slots").alias("i_slots"))
+    hits = found.join(pairs, ["form", "doc_id"]).join(i, ["form", "item_id", "h", "size"]).select("doc_id", "item_id", "form", "h", "i_pos", "d_pos", "i_slots", "d_slots")
+    hits = stored(hits, "template-hits")
 
     matched = hits.groupBy("doc_id", "item_id", "form").agg(F.count_distinct("h").alias("n_matched")).join(totals, ["item_id", "form"]).where(100 * F.col("n_matched") >= PERCENT * F.col("n_windows"))
     # Each slot of the item with the value that the document has in its place.
