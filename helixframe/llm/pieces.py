@@ -1,20 +1,22 @@
 r"""SentencePiece encoding and decoding on the ``tokenizers`` library.
 
 The model's protobuf is parsed here (wire format only).  From it a
-``tokenizers`` pipeline is rebuilt: the normaliser (identity, dummy prefix,
-collapsed spaces), the metaspace marker, the scores (a unigram model takes them
-as they are, a BPE model takes merges ranked by the score of the merged piece)
-and byte fallback.
+``tokenizers`` pipeline is rebuilt: the normaliser (identity, collapsed spaces,
+dummy prefix, metaspace marker), the scores (a unigram model takes them as they
+are, a BPE model takes merges ranked by the score of the merged piece) and byte
+fallback.  Control, unknown and byte pieces never stand for text that spells their
+names; user-defined pieces are found first, the longest at each place.
 
 Texts are cut where no piece can reach across: between two characters that are
 neighbours in no piece (before a marker, at line ends).  Each distinct cut is
 encoded once per worker by a multithreaded batch call and remembered.  Decoding
-gathers the bytes of all pieces at once.Every text is
-encoded again with the sentencepiece library and compared.
+gathers the bytes of all pieces at once.  Every text is encoded again with the
+sentencepiece library and compared.
 
 Defined results: a null or empty text has no ids and decodes to nothing; equal
 rows give equal ids; further columns are ignored; an empty table gives none.
-Normalisation other than identity (a precompiled character map) is refused.
+Normalisation other than identity (a precompiled character map) and BPE models
+with unused pieces are refused.
 """
 
 from __future__ import annotations
@@ -108,16 +110,27 @@ def parsed_model(data: bytes) -> Model:
     return Model(tuple(pieces), tuple(scores), tuple(kinds), trainer.get(3, UNIGRAM), bool(trainer.get(35, 0)), bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1)))
 
 
+def normalizer(model: Model):
+    """The model's normaliser: spaces collapsed, the prefix added, markers in place of spaces."""
+    from tokenizers import Regex, normalizers
+
+    steps = [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" +"), " ")] if model.collapse_spaces else []
+    steps += [normalizers.Prepend(MARK)] if model.dummy_prefix else []
+    return normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
+
+
 def rebuilt(model: Model):
-    """A ``tokenizers`` tokenizer for normalised text (markers in place of spaces)."""
+    """A ``tokenizers`` tokenizer for normalised text (markers in place of spaces) without user-defined symbols."""
     from tokenizers import Tokenizer, models
 
     if model.algorithm == UNIGRAM:
-        return Tokenizer(models.Unigram(list(zip(model.pieces, model.scores, strict=True)), model.unknown, model.byte_fallback))
-    if model.algorithm != BPE:
-        raise ValueError("only unigram and BPE models are supported")
+        # Normalised text has no space, so a name that begins with one matches nothing.  Unknown characters become bytes in ``Codec``.
+        names = [p if k == NORMAL else f" {i}" for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True))]
+        return Tokenizer(models.Unigram(list(zip(names, model.scores, strict=True)), model.unknown, False))
+    if model.algorithm != BPE or UNUSED in model.kinds:
+        raise ValueError("only unigram models and BPE models without unused pieces are supported")
     ids = {p: i for i, p in enumerate(model.pieces)}
-    usable = {p for p, k in zip(model.pieces, model.kinds, strict=True) if k in (NORMAL, USER_DEFINED)}
+    usable = {p for p, k in zip(model.pieces, model.kinds, strict=True) if k == NORMAL}
     merges = []
     for piece in usable:
         for cut in range(1, len(piece)):
@@ -135,13 +148,17 @@ class Codec:
             self.model = parsed_model(file.read())
         self.path = path
         self.tokenizer = rebuilt(self.model)
-        self.cache = WordCache(lambda units: [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)])
+        self.normalizer = normalizer(self.model)
+        self.cache = WordCache(self._encoded)
+        self.ids = {p: i for i, p in enumerate(self.model.pieces)}
+        defined = sorted((p.replace(" ", MARK) for p, k in zip(self.model.pieces, self.model.kinds, strict=True) if k == USER_DEFINED), key=len, reverse=True)
+        self.defined = re.compile(f"({'|'.join(map(re.escape, defined))})") if defined else None
         pairs = {p[i : i + 2] for p, k in zip(self.model.pieces, self.model.kinds, strict=True) if k in (NORMAL, USER_DEFINED) for i in range(len(p) - 1)}
         self.pairs = pairs
         spoken = {c for p in pairs for c in p}
         #: Whether a marker after another character, a line end, or a trailing stop is always a cut.
         self.cut_marks = not any(p[1] == MARK and p[0] != MARK for p in pairs)
-        self.cut_lines = "\n" not in spoken
+        self.cut_lines = "\n" not in spoken and self.model.byte_fallback
         texts = []
         for piece, kind in zip(self.model.pieces, self.model.kinds, strict=True):
             texts.append(b"" if kind == CONTROL else bytes([int(piece[3:5], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else piece.replace(MARK, " ").encode())
@@ -151,8 +168,26 @@ class Codec:
 
     # --- encoding ---
 
+    def _encoded(self, units: list[str]) -> list[list[int]]:
+        """The ids of units, which hold a user-defined symbol whole or none."""
+        out: list[list[int]] = [[self.ids[u]] if self.defined and self.defined.fullmatch(u) else [] for u in units]
+        rest = [i for i, ids in enumerate(out) if not ids]
+        unigram = self.model.algorithm == UNIGRAM
+        encode = self.tokenizer.encode_batch if unigram else self.tokenizer.encode_batch_fast
+        for i, e in zip(rest, encode([units[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+            if unigram and self.model.byte_fallback and self.model.unknown in e.ids:
+                spelled = zip(e.ids, e.offsets, strict=True)
+                out[i] = [x for n, (a, b) in spelled for x in ([n] if n != self.model.unknown else [self.ids[f"<0x{c:02X}>"] for c in units[i][a:b].encode()])]
+        return out
+
     def _units(self, text: str) -> list[str]:
         """The cuts of one normalised text."""
+        if self.defined:
+            return [u for k, part in enumerate(self.defined.split(text)) if part for u in ([part] if k % 2 else self._plain_units(part))]
+        return self._plain_units(text)
+
+    def _plain_units(self, text: str) -> list[str]:
         if not self.cut_marks:
             return [text] if text else []
         lines = re.split("(\n)", text) if self.cut_lines else [text]
@@ -170,16 +205,11 @@ class Codec:
                     out.append(unit)
         return out
 
-    def normalised(self, text: str) -> str:
-        if self.model.collapse_spaces:
-            text = re.sub(" +", " ", text).strip(" ")
-        return (MARK if self.model.dummy_prefix and text else "") + text.replace(" ", MARK)
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn and the number of ids of each text."""
         texts = filled(texts)
         odd = pc.match_substring_regex(texts, f"^ | $|  |{MARK}|^$").to_numpy(zero_copy_only=False)
-        if not (self.cut_marks and self.model.dummy_prefix):
+        if self.defined or not (self.cut_marks and self.model.dummy_prefix):
             odd = np.ones(len(texts), bool)
         units: dict[str, int] = {}
         flat, n_units = [], []
@@ -193,7 +223,7 @@ class Codec:
             flat.append(codes)
             n_units.append(np.bincount(np.repeat(np.arange(len(words)), words), n, len(words)).astype(np.int64))
         if odd.any():
-            lists = [[units.setdefault(u, len(units)) for u in self._units(self.normalised(t))] for t in texts.filter(pa.array(odd)).to_pylist()]
+            lists = [[units.setdefault(u, len(units)) for u in self._units(self.normalizer.normalize_str(t))] for t in texts.filter(pa.array(odd)).to_pylist()]
             flat.append(np.array([c for x in lists for c in x], np.int64))
             n_units.append(np.array([len(x) for x in lists], np.int64))
         ids, per_unit = self.cache.gathered(list(units), np.concatenate(flat) if flat else np.zeros(0, np.int64))
