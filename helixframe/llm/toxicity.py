@@ -2,7 +2,7 @@
 
 Learning.  Labelled documents outside the held-out fold are sampled by hash
 order, at most ``SAMPLE`` of them (the documented bound; one copy of each text
-counts).  A word's features are itself and its affixes.  Of all (document,
+counts, with the largest label and the least doc_id of its rows).  A word's features are itself and its affixes.  Of all (document,
 feature) pairs of a kind each feature has a share among the toxic and a share
 among the other documents; it gets the log of their ratio, positive or negative,
 under a Dirichlet prior that is neutral between the classes.  This is weighted
@@ -210,7 +210,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     # At most SAMPLE rows of two numbers: the bound that allows the broadcast.
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = rows.withColumn("fold", fold(F.col("doc_id"))).dropDuplicates(["text"]).select("text", "toxic", "fold")
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")).select("text", "toxic", fold(F.col("doc_id")).alias("fold"))
     spark = docs.sparkSession
     rows = rows.persist()
     counts = None
