@@ -66,6 +66,16 @@ def test_token_files_round_trip(spark):
     assert token_files.round_trip(documents(spark, EMPTY), path).count() == 0
 
 
+def test_other_tokenizer_files_take_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    rows = mixed_texts()[:12] + [(900, "Hello big world"), (901, " It's\n\n ,.%"), (902, None)]
+    tok = Tokenizer.from_file(path)
+    want = sorted((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in rows for ids in [tok.encode(t or "", add_special_tokens=False).ids + [2]])
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.round_trip(documents(spark, rows), path).collect()) == want
+
+
 @pytest.mark.parametrize("weights", [[1], [5, 1], [2**i for i in range(40)], [7] * 300, [1000, 1, 1, 1, 50, 3]])
 def test_code_is_canonical_limited_and_decodes(weights):
     counts = np.array([0, *weights, 0])
@@ -246,6 +256,30 @@ def test_shards_end_between_anchors_and_give_the_same(monkeypatch):
     assert {(r["pos"], r["doc_id"]) for r in rows if r["doc_id"] != min(x["doc_id"] for x in rows if x["anchor"] == r["anchor"])} <= {(p, d) for p, d, _ in got}
 
 
+@pytest.mark.parametrize("run", [phrases._anchor_counts, phrases._anchor_places, minhash._sketched, templates._scanner("doc_id", None)])
+def test_slices_of_batches_give_what_whole_batches_give(run):
+    """A cut batch is a view with an offset; each scan must give the same on it as on a copy."""
+    texts = [t for _, t in mixed_texts()]
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "tag": [0] * len(texts), "text": texts}, pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("text", pa.string())]))
+    cut = whole.slice(7, 21)
+    copy = pa.RecordBatch.from_pylist(cut.to_pylist(), cut.schema)
+    assert [b.to_pydict() for b in run(iter([cut]))] == [b.to_pydict() for b in run(iter([copy]))]
+
+
+def test_pieces_of_cut_batches_are_valid():
+    texts = ["x " * 40, "y " * 30, None, "", "z " * 60, "one two"] * 5
+    whole = pa.RecordBatch.from_pydict(
+        {"doc_id": list(range(30)), "tag": [0] * 30, "no_id": [False] * 30, "text": texts, "places": [[3 << 16 | 2 << 8 | 5] if i % 3 == 1 else None for i in range(30)]},
+        pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("no_id", pa.bool_()), ("text", pa.string()), ("places", pa.list_(pa.int64()))]),
+    )
+    long = whole.filter(pa.array([i % 6 == 1 or i % 3 == 0 for i in range(30)]))
+    for first in (0, 1, 4):
+        cut = long.slice(first, 7)
+        copy = pa.RecordBatch.from_pylist(cut.to_pylist(), cut.schema)
+        got, want = ([b.to_pydict() for b in phrases._pieces(iter([x]))] for x in (cut, copy))
+        assert got == want
+
+
 # --- 6 -------------------------------------------------------------------------
 
 
@@ -326,9 +360,40 @@ def test_unigram_models_keep_scores_and_byte_fallback():
     model += field(2, bytes([3 << 3, 1, 35 << 3 & 0x7F | 0x80, 35 << 3 >> 7, 1]))
     parsed = pieces.parsed_model(model)
     assert parsed.algorithm == pieces.UNIGRAM and parsed.scores[2] == -2 and parsed.byte_fallback and parsed.unknown == 0
-    tok = pieces.rebuilt(parsed)
-    assert tok.encode("▁ab", add_special_tokens=False).ids == [1, 2]
-    assert tok.encode("▁aé", add_special_tokens=False).ids == [1, 4 + 0xC3, 4 + 0xA9]
+    assert pieces.rebuilt(parsed).encode("▁ab", add_special_tokens=False).ids == [1, 2]
+
+
+def model_file(path, algorithm, rows, byte_fallback=True):
+    """A model written by hand: (piece, score, kind) rows and, with byte fallback, the 256 byte pieces."""
+    field = lambda n, data: bytes([n << 3 | 2, len(data)]) + data
+    piece = lambda text, score, kind: field(1, field(1, text.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + bytes([3 << 3, kind]))
+    rows = list(rows) + [(f"<0x{i:02X}>", 0.0, pieces.BYTE) for i in range(256)] * byte_fallback
+    data = b"".join(piece(*r) for r in rows) + field(2, bytes([3 << 3, algorithm, 35 << 3 & 0x7F | 0x80, 35 << 3 >> 7, int(byte_fallback)])) + field(3, field(1, b"identity"))
+    path.write_bytes(data)
+    return str(path)
+
+
+@pytest.mark.parametrize("algorithm", [pieces.UNIGRAM, pieces.BPE])
+@pytest.mark.parametrize("defined", [False, True])
+def test_small_models_equal_the_library(tmp_path, algorithm, defined):
+    import sentencepiece
+
+    rng = random.Random(algorithm)
+    rows = [("<unk>", 0.0, pieces.UNKNOWN), ("<s>", 0.0, pieces.CONTROL), ("</s>", 0.0, pieces.CONTROL)]
+    rows += [("<extra>", 0.0, pieces.USER_DEFINED), ("<ex", 0.0, pieces.USER_DEFINED)] * defined
+    letters = "▁abcdeé<>/s0x41unk"
+    chosen = dict.fromkeys("".join(rng.choice("abcde0") for _ in range(rng.randrange(2, 5))) for _ in range(60))
+    chosen |= dict.fromkeys(["▁a", "▁ab", "▁c", "<s", "s>", "0x", "x4", "un", "nk", "<u", "</"])
+    rows += [(c, -8 - rng.random(), pieces.NORMAL) for c in dict.fromkeys(letters)] + [(w, -1 - 4 * rng.random(), pieces.NORMAL) for w in chosen if len(w) > 1]
+    path = model_file(tmp_path / "m.model", algorithm, rows)
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["<s> x </s>", "a<unk>b", "<0x41> y", "<extra> ab<extra>c <ex d", "日本 🎉 é", "a  b\n\nc.", "", " ", "ab " * 50]
+    texts += ["".join(rng.choice("abcde0é <>/s\n日") for _ in range(rng.randrange(60))) for _ in range(300)]
+    c = pieces.Codec(path)
+    ids, n = c.encode(pa.array(texts))
+    ends = np.cumsum(n)
+    got = [ids[e - k : e].tolist() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+    assert [(t, a) for t, a, b in zip(texts, got, lib.encode(texts), strict=True) if a != b] == []
 
 
 # --- 8 -------------------------------------------------------------------------
@@ -368,6 +433,40 @@ def test_near_duplicates_match_brute_force(spark):
     assert len({c for _, c in want.values()}) < len(want)
 
 
+def test_near_duplicates_of_one_large_group_match_brute_force(spark):
+    rng = random.Random(11)
+    voc = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(voc) for _ in range(100)]
+    edits = [(rng.randrange(100), rng.choice(voc)) for _ in range(12)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at, w in rng.sample(edits, rng.randrange(0, 4)) + [(rng.randrange(100), rng.choice(voc)) for _ in range(rng.randrange(0, 4))]:
+            words[at] = w
+        rows.append((i, " ".join(words[: rng.choice([100, 100, 85])])))
+    rng.shuffle(rows)
+    want = slow_components(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.linked(documents(spark, rows)).collect()}
+    assert got == want and 1 < len({c for _, c in want.values()}) < 160
+
+
+def test_rows_of_one_doc_id_are_one_document(spark):
+    rows = mixed_texts()[:20]
+    other = (rows[3][0], rows[17][1])
+    chosen = spark.createDataFrame([(rows[3][1],), (other[1],)], "text string").orderBy(F.xxhash64("text")).first()["text"]
+    want = slow_components([(i, chosen if i == other[0] else t) for i, t in rows])
+    got = minhash.linked(documents(spark, [*rows, other])).collect()
+    assert len(got) == 21 and all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got)
+
+
+def test_components_of_long_chains(spark):
+    rng = random.Random(3)
+    names = rng.sample(range(1000), 90)
+    edges = [(a, b) for part in (names[:50], names[50:70], names[70:]) for a, b in zip(part, part[1:], strict=False)] + [(5000, 5000)]
+    got = {r["node"]: r["component"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: min(part) for part in (names[:50], names[50:70], names[70:]) for n in part}
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert minhash.linked(documents(spark, EMPTY)).count() == 0
 
