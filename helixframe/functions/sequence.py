@@ -146,10 +146,9 @@ def suffix_prefix_overlap(left: Column, right: Column, least: int = 1) -> Column
 
 
 def mismatches(a: Column, b: Column) -> Column:
-    """Places at which two sequences differ, over the shorter length."""
-    n = F.least(F.length(a), F.length(b))
-    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    return F.when(n > 0, F.size(F.filter(at, lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))))).otherwise(0)
+    """Places at which two sequences differ, over the shorter length, in one pass over both."""
+    places = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y) & (x != "") & (y != ""))
+    return F.size(F.filter(places, lambda d: d))
 
 
 def quality(seq_pos: Column, base: Column) -> Column:

@@ -70,6 +70,8 @@ def unitigs(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
         open_ = state.where(~F.col("done")).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
         if not open_["n"] or open_["d"] > 2 * open_["n"]:
             break
+    else:
+        raise RuntimeError(f"unitigs are not settled after {max_rounds} rounds")
     circles = state.where(~F.col("done")).select("node", "low")
     if not circles.isEmpty():
         broken = links.join(circles.where("node = low").select(F.col("node").alias("dst")), "dst", "left_anti")
@@ -88,9 +90,9 @@ def _chains(nodes: DataFrame, links: DataFrame, max_rounds: int) -> DataFrame:
         above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
         state = cut(state.join(above, "up").select("node", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), (F.col("d2") > 0).alias("moved")))
         if state.where("moved").isEmpty():
-            break
+            return state.select("node", F.col("up").alias("head"), "d")
         state = state.drop("moved")
-    return state.select("node", F.col("up").alias("head"), "d")
+    raise RuntimeError(f"chains are not settled after {max_rounds} rounds")
 
 
 def _spelled(chains: DataFrame) -> DataFrame:
@@ -118,8 +120,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         moved = not step.where("component <> old").isEmpty()
         state = step.select("node", "component")
         if not moved:
-            break
-    return state
+            return state
+    raise RuntimeError(f"components are not settled after {max_rounds} rounds")
 
 
 def distances(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
@@ -169,10 +171,58 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
         a, b = state.select(F.col("node").alias("src"), F.col("component").alias("ca")), state.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
         outer = cut(edges.join(a, "src").join(b, "dst").where("ca <> cb"))
         if outer.isEmpty():
-            break
+            return chosen.select("src", "dst", "w") if chosen is not None else edges.limit(0)
         both = outer.select(F.col("ca").alias("c"), "src", "dst", "w").unionAll(outer.select(F.col("cb").alias("c"), "src", "dst", "w"))
         picked = both.groupBy("c").agg(F.min(F.struct("w", "src", "dst")).alias("e")).select("e.*").distinct()
         chosen = cut(picked if chosen is None else chosen.unionByName(picked))
         state = components(chosen.select("src", "dst"))
         state = cut(nodes.join(state, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-    return chosen.select("src", "dst", "w") if chosen is not None else edges.limit(0)
+    raise RuntimeError(f"the forest is not settled after {max_rounds} rounds")
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """node, distance of every node that can be reached from a start over edges (src, dst, weight >= 0).
+
+    Each round relaxes the edges of nodes whose distance fell in the last one, until none falls."""
+    reached = cut(starts.select("node", F.lit(0.0).alias("distance")).distinct())
+    frontier = reached
+    while True:
+        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"))
+        step = step.groupBy("node").agg(F.min("distance").alias("nearer"))
+        frontier = cut(step.join(reached, "node", "left").where("distance IS NULL OR nearer < distance").select("node", F.col("nearer").alias("distance")))
+        if frontier.isEmpty():
+            return reached
+        reached = cut(reached.union(frontier).groupBy("node").agg(F.min("distance").alias("distance")))
+
+
+def paths_between(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int) -> DataFrame:
+    """path (array of nodes) of every simple path of at most ``most`` edges from a start to an end."""
+    back = cut(ends.select("node").distinct())
+    # Only nodes from which an end can be reached in the steps left are followed.
+    near = [back]
+    for _ in range(most):
+        near.append(cut(near[-1].union(edges.join(near[-1], F.col("dst") == F.col("node")).select(F.col("src").alias("node"))).distinct()))
+    walks = starts.select("node").distinct().join(near[most], "node", "left_semi").select("node", F.array("node").alias("path"))
+    found = walks.join(back, "node", "left_semi").select("path")
+    for left in range(most - 1, -1, -1):
+        step = walks.join(edges.select("src", "dst").distinct(), F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        walks = cut(step.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).join(near[left], "node", "left_semi"))
+        found = found.union(walks.join(back, "node", "left_semi").select("path"))
+    return found
+
+
+def odd_components(edges: DataFrame) -> DataFrame:
+    """component: the components (least node) that hold an odd cycle, of edges (src, dst) without direction.
+
+    Every node becomes two, one for each parity; an odd cycle joins both."""
+    side = lambda c, p: F.concat(F.lpad(F.col(c).cast("string"), 20, "0"), F.lit(f":{p}"))
+    doubled = edges.select(side("src", 0).alias("src"), side("dst", 1).alias("dst")).union(edges.select(side("src", 1).alias("src"), side("dst", 0).alias("dst")))
+    by_node = components(doubled).groupBy(F.substring_index("node", ":", 1).alias("name")).agg(F.min("component").alias("c"), F.count_distinct("component").alias("n"))
+    return by_node.where("n = 1").select(F.substring_index("c", ":", 1).cast("long").alias("component")).distinct()
+
+
+def disjoint_union(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Edges (src, dst) of both, the second's nodes moved behind the first's (one scalar)."""
+    behind = first.agg((F.coalesce(F.max(F.greatest("src", "dst")), F.lit(-1)) + 1).alias("behind"))
+    moved = second.join(F.broadcast(behind)).select((F.col("src") + F.col("behind")).alias("src"), (F.col("dst") + F.col("behind")).alias("dst"))
+    return first.select("src", "dst").union(moved)

@@ -65,6 +65,15 @@ def coverage_histogram(iv: DataFrame) -> DataFrame:
     return condensed(iv).groupBy("coverage").agg(F.sum(F.col("stop") - F.col("start")).alias("bases"))
 
 
+def two_masks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """contig, start, stop, in_a, in_b: disjoint pieces and whether each mask covers them; one sweep over both."""
+    ends = lambda iv, x, y: iv.where("start < stop").select("contig", F.explode(F.array(F.struct(F.col("start").alias("p"), F.lit(x).alias("a"), F.lit(y).alias("b")), F.struct(F.col("stop").alias("p"), F.lit(-x).alias("a"), F.lit(-y).alias("b")))).alias("e")).select("contig", "e.*")
+    events = ends(a, 1, 0).unionAll(ends(b, 0, 1)).groupBy("contig", "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = Window.partitionBy("contig").orderBy("p")
+    swept = events.select("contig", F.col("p").alias("start"), F.lead("p").over(w).alias("stop"), (F.sum("a").over(w) > 0).alias("in_a"), (F.sum("b").over(w) > 0).alias("in_b"))
+    return swept.where("stop IS NOT NULL")
+
+
 def _binned(iv: DataFrame, width: int, side: str) -> DataFrame:
     bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))
     cols = [F.col(c).alias(f"{side}_{c}") for c in iv.columns if c != "contig"]

@@ -40,6 +40,12 @@ def n_statistics(df: DataFrame, value: str) -> DataFrame:
     return hit.groupBy((F.col("i") * 10).cast("long").alias("stat")).agg(F.max("value").alias("value"))
 
 
+def basic_nstats(df: DataFrame, value: str, percents: tuple[int, ...]) -> DataFrame:
+    """stat (percent), value: the largest value such that it and all larger ones make up that share of the total."""
+    rows = _steps(df, value, descending=True).select("value", "mass", "total", F.explode(F.array(*(F.lit(p).cast("long") for p in percents))).alias("stat"))
+    return rows.where(100 * F.col("mass") >= F.col("total") * F.col("stat")).groupBy("stat").agg(F.max("value").alias("value"))
+
+
 def median_upper(df: DataFrame, value: str) -> DataFrame:
     """The element n div 2 (from 0) of the sorted values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))

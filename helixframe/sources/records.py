@@ -16,9 +16,15 @@ ALIGNMENT_HEAD = "query_id q_start q_end q_len rc target_id t_start t_end t_len
 AGP_COLUMNS = "object string, obj_from long, obj_to long, part int, kind string, a string, b string, c string, d string"
 
 
+def _fasta_records(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record: only a ``>`` at the start of a line begins one."""
+    rows = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("value"))
+    return rows.where("trim(value) <> ''")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """name (first word of the header), header, seq (line ends removed)."""
-    rows = spark.read.text(path, lineSep=">").where("trim(value) <> ''")
+    rows = _fasta_records(spark, path)
     head = F.substring_index("value", "\n", 1)
     body = F.when(F.instr("value", "\n") > 0, F.substr(F.col("value"), F.instr("value", "\n") + 1)).otherwise("")
     return rows.select(F.regexp_extract(F.trim(head), r"^(\S*)", 1).alias("name"), F.rtrim(head).alias("header"), F.regexp_replace(body, r"\s", "").alias("seq"))
@@ -34,8 +40,8 @@ def write_fasta(df: DataFrame, path: str, name: str = "name", seq: str = "seq",
 
 
 def illegal_bases(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """Rows with characters that are no bases or ambiguity codes."""
-    return df.where(~F.col(seq).rlike("^[ACGTRYSWKMBDHVNacgtryswkmbdhvn]*$"))
+    """Rows without a sequence or with characters that are no bases or ambiguity codes."""
+    return df.where(F.col(seq).isNull() | ~F.col(seq).rlike("^[ACGTRYSWKMBDHVNacgtryswkmbdhvn]*$"))
 
 
 def read_fastq(spark: SparkSession, path: str, offset: int = 33) -> DataFrame:
@@ -64,7 +70,7 @@ def write_fastq(df: DataFrame, path: str, offset: int = 33) -> None:
 
 def read_quala(spark: SparkSession, path: str) -> DataFrame:
     """name, quals of a FASTA-like file of numbers."""
-    rows = spark.read.text(path, lineSep=">").where("trim(value) <> ''")
+    rows = _fasta_records(spark, path)
     body = F.trim(F.regexp_replace(F.substr(F.col("value"), F.instr("value", "\n") + 1), r"\s+", " "))
     return rows.select(F.regexp_extract("value", r"^(\S*)", 1).alias("name"), F.transform(F.filter(F.split(body, " "), lambda x: x != ""), lambda x: x.cast("int")).alias("quals"))
 
@@ -122,10 +128,14 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_vcf(df: DataFrame, path: str) -> None:
-    """Body lines only, by place; header lines belong to a file of their own."""
+    """Header lines, then the calls by place: the part files in turn are one valid file."""
     info = F.array_join(F.transform(F.map_entries("info"), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", F.array_join("alts", ","), F.coalesce(F.col("qual").cast("string"), F.lit(".")), F.coalesce("filter", F.lit(".")), F.when(F.length(info) > 0, info).otherwise("."))
-    df.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").select(line.alias("value")).write.text(path)
+    names = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"])
+    head = df.sparkSession.createDataFrame([(0, "", 0, "##fileformat=VCFv4.2"), (0, "", 1, names)], "part int, chrom string, pos long, value string")
+    rows = head.union(df.select(F.lit(1), "chrom", F.col("pos").cast("long"), line))
+    order = ["part", "chrom", "pos", "value"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
 
 
 def concordance(a: DataFrame, b: DataFrame) -> DataFrame:

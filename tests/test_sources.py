@@ -13,7 +13,7 @@ def write(tmp_path, name, text):
 
 
 def test_fasta_round_trip(spark, tmp_path):
-    path = write(tmp_path, "a.fa", ">one first\nACGT\nAC\n>two\nTTTT\n")
+    path = write(tmp_path, "a.fa", ">one first > second\nACGT\nAC\n>two\nTTTT\n")
     rows = records.read_fasta(spark, path)
     assert {(r["name"], r["seq"]) for r in rows.collect()} == {("one", "ACGTAC"), ("two", "TTTT")}
     records.write_fasta(rows.coalesce(1), str(tmp_path / "out"), width=4)
@@ -46,7 +46,10 @@ def test_vcf_and_concordance(spark, tmp_path):
     r = records.read_vcf(spark, path).first()
     assert r["alts"] == ["C", "G"] and r["info"] == {"DP": "3", "DB": None} and r["samples"] == [{"GT": "0/1", "DP": "5"}]
     records.write_vcf(records.read_vcf(spark, path), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).first()["value"] == "1\t7\t.\tA\tC,G\t9.5\tPASS\tDP=3;DB"
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).splitlines()
+    assert lines[0] == "##fileformat=VCFv4.2" and lines[1].startswith("#CHROM\tPOS") and len(lines) == 3
+    assert lines[2] == "1\t7\t.\tA\tC,G\t9.5\tPASS\tDP=3;DB"
+    assert records.read_vcf(spark, str(tmp_path / "out")).first()["info"] == r["info"]
 
 
 def test_alignment_lines(spark, tmp_path):
