@@ -310,8 +310,9 @@ def linked(docs: DataFrame) -> DataFrame:
     hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub")
     shared = stored(buckets.join(hubs, "bucket"), "minhash-shared")
     candidates = stored(shared.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-star")
-    tags = leaders.select("doc_id", "tag").join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
-    texts = stored(named.join(tags, ["doc_id", "tag"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "minhash-texts")
+    needed = named.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    own = needed.join(several, "doc_id", "left").where("own IS NULL OR own = tag")
+    texts = stored(own.select("doc_id", "text").dropDuplicates(["doc_id"]), "minhash-texts")
     star = stored(measured(candidates, texts), "minhash-measured")
     dropped(spark, buckets, shared, candidates)
     released(spark)

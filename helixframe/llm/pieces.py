@@ -41,6 +41,9 @@ from .words import filled, text_slices
 
 MARK = "▁"
 
+#: Cuts that a worker remembers in each of two generations.
+UNITS = 120_000
+
 # Fixed values of the model format: kinds of pieces and models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -149,7 +152,7 @@ class Codec:
         self.path = path
         self.tokenizer = rebuilt(self.model)
         self.normalizer = normalizer(self.model)
-        self.cache = WordCache(self._encoded)
+        self.cache = WordCache(self._encoded, UNITS)
         self.ids = {p: i for i, p in enumerate(self.model.pieces)}
         defined = sorted((p.replace(" ", MARK) for p, k in zip(self.model.pieces, self.model.kinds, strict=True) if k == USER_DEFINED), key=len, reverse=True)
         self.defined = re.compile(f"({'|'.join(map(re.escape, defined))})") if defined else None
@@ -279,8 +282,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             pieces = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
             plain = texts.cast(pa.binary()).to_pylist()
             exact = [a == b.replace(MARK.encode(), b" ") for a, b in zip(c.decode(ids, n), plain, strict=True)]
-            wanted = c.reference.encode([t.decode() for t in plain], num_threads=1)
-            parity = [want == ids[e - k : e].tolist() for want, e, k in zip(wanted, ends.tolist(), n.tolist(), strict=True)]
+            parity = [np.array_equal(c.reference.encode(t.decode()), ids[e - k : e]) for t, e, k in zip(plain, ends.tolist(), n.tolist(), strict=True)]
             fallback = np.bincount(np.repeat(np.arange(len(n)), n), c.is_byte[ids], len(n)).astype(np.int64)
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(fallback), pa.array([zlib.crc32(p) for p in pieces], pa.int64()), pa.array(exact, pa.bool_()), pa.array(parity, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array([bytes(p) for p in pieces], pa.binary())] * with_ids, names=[f.split()[0] for f in schema.split(", ")])

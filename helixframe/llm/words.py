@@ -8,6 +8,7 @@ once per distinct word, and window arithmetic is vectorised.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +46,19 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             first = last
     if held:
         yield _joined(held)
+    held = []
+    _give_back()
+
+
+#: glibc's way to return freed memory to the system; absent elsewhere.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _give_back() -> None:
+    """Workers are used again by later tasks: what the slices of this one took must not stay with them."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
