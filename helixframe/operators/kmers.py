@@ -95,14 +95,67 @@ def per_read(kmers: DataFrame, key: str = "read_id") -> DataFrame:
     return rows.groupBy(key).agg(F.sum("m").alias("n"), F.min("kf").alias("min_kf"), F.max("kf").alias("max_kf"), F.sum(F.col("m") * F.col("kf")).alias("sum_kf"))
 
 
+def classes(seqs: DataFrame, key: str = "read_id") -> DataFrame:
+    """key, class_id: the least key among equal sequences (a null sequence is alone).
+
+    Only classes of two and more are joined back, dealt out over ``SALTS`` places, so a
+    sequence that a third of the rows share is not one task; ids and digests move, not texts.
+    """
+    rows = seqs.select(key, F.md5(F.col("seq").cast("binary")).alias("digest"))
+    least = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = rows.withColumn("salt", _salt(key)).join(_salted(least.drop("n")), ["digest", "salt"], "left")
+    return found.select(key, F.coalesce("class_id", key).alias("class_id"))
+
+
+def representatives(seqs: DataFrame, key: str = "read_id") -> DataFrame:
+    """The rows of ``seqs`` with the least key among equal sequences."""
+    first = seqs.where("seq IS NOT NULL").groupBy(F.md5(F.col("seq").cast("binary")).alias("digest")).agg(F.min(key).alias(key))
+    return seqs.join(first.select(key), key, "left_semi")
+
+
+SALTS = 8
+
+
+def _salt(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def with_counts(words: DataFrame, word: str, key: str) -> DataFrame:
+    """word, key, pos, n, first: every occurrence, how often its word occurs, and the first (key, pos) of a word that recurs.
+
+    Words that occur once need no partner; the others are dealt out over ``SALTS``
+    places, so the occurrences of a frequent word are not one task.
+    """
+    often = words.groupBy(word).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "pos")).alias("first")).where("n > 1")
+    rows = words.select(word, key, "pos").withColumn("salt", _salt(key, "pos"))
+    found = rows.join(_salted(often), [word, "salt"], "left")
+    return found.select(word, key, "pos", F.coalesce("n", F.lit(1)).alias("n"), "first")
+
+
+def word_links(words: DataFrame, word: str, most: int, key: str) -> DataFrame:
+    """a, p, b, q: pairs of occurrences of one word in two reads, a < b.
+
+    Words in at most ``most`` places give all their pairs.  A word in more places
+    gives a star: its first occurrence with every other one.  So no word is left
+    out, reads that share any word stay connected, and rows grow with the
+    occurrences (``most`` a row at the utmost), not with the square of a word's.
+    """
+    rows = with_counts(words, word, key).where("n > 1")
+    star = rows.where(F.col("n") > most).select(F.col(f"first.{key}").alias("a"), F.col("first.pos").alias("p"), F.col(key).alias("b"), F.col("pos").alias("q"))
+    rare = rows.where(F.col("n") <= most)
+    left, right = rare.select(word, F.col(key).alias("a"), F.col("pos").alias("p")), rare.select(word, F.col(key).alias("b"), F.col("pos").alias("q"))
+    return left.join(right, word).select("a", "p", "b", "q").unionAll(star).where("a < b")
+
+
 def shared_pairs(kmers: DataFrame, most: int, key: str = "read_id") -> DataFrame:
-    """a, b, n: pairs of reads (a < b) and their common words, words in more than ``most`` reads left out (the
-    frequent-word guard that seeded lookups state as a parameter)."""
-    own = kmers.select(key, "kmer").distinct()
-    rare = own.groupBy("kmer").agg(F.count(F.lit(1)).alias("reads")).where((F.col("reads") > 1) & (F.col("reads") <= most)).select("kmer")
-    own = own.join(rare, "kmer")
-    left, right = own.select("kmer", F.col(key).alias("a")), own.select("kmer", F.col(key).alias("b"))
-    return left.join(right, "kmer").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    """a, b, n: pairs of reads (a < b) and their common words; a word in more than ``most`` reads counts for its least
+    read with each other one (``word_links``)."""
+    own = kmers.select(key, "kmer").distinct().withColumn("pos", F.lit(0))
+    return word_links(own, "kmer", most, key).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def numbered(kmers: DataFrame) -> DataFrame:

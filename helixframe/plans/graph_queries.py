@@ -30,9 +30,9 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir)
 
 
-@query(_NODES + ", d AS (SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node) SELECT n_out, n_in, count(*) AS n FROM d GROUP BY 1, 2")
+@query(_NODES.replace(CONTIGS_SQL, READS_SQL).replace("contig_id", "read_id").replace("FROM contigs)", "FROM reads)") + ", d AS (SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node) SELECT n_out, n_in, count(*) AS n FROM d GROUP BY 1, 2")
 def degree_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(_edges(spark, sf_dir)).groupBy("n_out", "n_in").agg(F.count(F.lit(1)).alias("n"))
+    return graph.degrees(graph.adjacency(graph.oriented_kmers(kmerized(reads(spark, sf_dir), K)))).groupBy("n_out", "n_in").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -145,13 +145,13 @@ def sw_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FLANK = 6
 _STACK = (
-    f"WITH {CONTIGS_SQL}, p AS (SELECT contig_id, unnest(range(1, length(seq) - 11)) AS pl, seq FROM contigs), s AS (SELECT contig_id, pl + 6 AS pos, substr(seq, pl::BIGINT, 6) AS l, substr(seq, (pl + 6)::BIGINT, 1) AS base, substr(seq, (pl + 7)::BIGINT, 6) AS r FROM p), "
+    f"WITH {READS_SQL}, p AS (SELECT read_id, unnest(range(1, length(seq) - 11)) AS pl, seq FROM reads), s AS (SELECT read_id, pl + 6 AS pos, substr(seq, pl::BIGINT, 6) AS l, substr(seq, (pl + 6)::BIGINT, 1) AS base, substr(seq, (pl + 7)::BIGINT, 6) AS r FROM p), "
     "z AS (SELECT *, (ascii(base) * 7 + pos * 13) % 41 AS q FROM s), c AS (SELECT l, r, " + ", ".join(f"sum(CASE WHEN base = '{b}' THEN q ELSE 0 END)::BIGINT AS {b}" for b in "ACGT") + ", count(*) AS depth FROM z GROUP BY l, r)"
 )
 
 
 def _stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.stacks(contigs(spark, sf_dir), _FLANK, "contig_id")
+    return variants.stacks(reads(spark, sf_dir), _FLANK, "read_id")
 
 
 @query(_STACK + " SELECT l AS \"left\", r AS \"right\", depth, greatest(A, C, G, T) AS best, A + C + G + T - greatest(A, C, G, T) AS rest FROM c WHERE depth >= 2 AND A + C + G + T - greatest(A, C, G, T) > 0 AND greatest(A, C, G, T) >= 1.5 * (A + C + G + T - greatest(A, C, G, T))")
@@ -161,21 +161,21 @@ def stack_fishy_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _STACK + ", j AS (SELECT z.*, greatest(A, C, G, T) AS best, CASE base WHEN 'A' THEN A WHEN 'C' THEN C WHEN 'G' THEN G ELSE T END AS own, CASE greatest(A, C, G, T) WHEN A THEN 'A' WHEN C THEN 'C' WHEN G THEN 'G' ELSE 'T' END AS winner FROM z JOIN c USING (l, r)) "
-    "SELECT contig_id, pos, base, winner FROM j WHERE winner <> base AND best >= 20 AND best >= 2 * own"
+    "SELECT read_id, pos, base, winner FROM j WHERE winner <> base AND best >= 20 AND best >= 2 * own"
 )
 def stack_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stacks(spark, sf_dir)
     fixes = variants.recommended(rows, variants.stack_columns(rows), 20, 2)
-    return fixes.select("contig_id", F.col("pos").cast("long").alias("pos"), "base", "winner")
+    return fixes.select("read_id", F.col("pos").cast("long").alias("pos"), "base", "winner")
 
 
-_BASES = f"WITH {CONTIGS_SQL}, b AS (SELECT contig_id % 4 AS contig, pos, substr(seq, pos::BIGINT, 1) AS base, contig_id FROM (SELECT contig_id, seq, unnest(range(1, length(seq) + 1)) AS pos FROM contigs))"
+_BASES = f"WITH {READS_SQL}, b AS (SELECT read_id % 4 AS contig, pos, substr(seq, pos::BIGINT, 1) AS base, read_id FROM (SELECT read_id, seq, unnest(range(1, length(seq) + 1)) AS pos FROM reads))"
 
 
 def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All contigs laid over each other at four places."""
-    rows = contigs(spark, sf_dir).where(F.length("seq") > 0).select("contig_id", F.col("seq").cast("binary").alias("s"), F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("pos"))
-    return rows.select((F.col("contig_id") % 4).alias("contig"), F.col("pos").cast("long").alias("pos"), F.substr("s", F.col("pos"), F.lit(1)).cast("string").alias("base"), "contig_id")
+    """All reads laid over each other at four places."""
+    rows = reads(spark, sf_dir).where(F.length("seq") > 0).select("read_id", F.col("seq").cast("binary").alias("s"), F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("pos"))
+    return rows.select((F.col("read_id") % 4).alias("contig"), F.col("pos").cast("long").alias("pos"), F.substr("s", F.col("pos"), F.lit(1)).cast("string").alias("base"), "read_id")
 
 
 @query(_BASES + " SELECT contig, pos, " + ", ".join(f"count(*) FILTER (WHERE base = '{b}') AS {b}" for b in "ACGT") + ", count(*) AS depth FROM b GROUP BY 1, 2")
@@ -185,8 +185,8 @@ def pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GENO = (
     _BASES + ", c AS (SELECT contig, pos, " + ", ".join(f"count(*) FILTER (WHERE base = '{b}') AS {b}" for b in "ACGT") + " FROM b GROUP BY 1, 2), r AS (SELECT contig, pos, CASE greatest(A, C, G, T) WHEN A THEN 'A' WHEN C THEN 'C' WHEN G THEN 'G' ELSE 'T' END AS ref FROM c), "
-    "e AS (SELECT contig, pos, contig_id, base <> ref AS other, pow(10.0, -greatest((ascii(base) * 7 + pos * 13) % 41, 2) / 10.0) AS e FROM b JOIN r USING (contig, pos)), "
-    "x AS (SELECT contig, pos, contig_id, other, log10(CASE WHEN other THEN e / 3 ELSE 1 - e END) AS a, log10(CASE WHEN other THEN 1 - e ELSE e / 3 END) AS z FROM e)"
+    "e AS (SELECT contig, pos, read_id, base <> ref AS other, pow(10.0, -greatest((ascii(base) * 7 + pos * 13) % 41, 2) / 10.0) AS e FROM b JOIN r USING (contig, pos)), "
+    "x AS (SELECT contig, pos, read_id, other, log10(CASE WHEN other THEN e / 3 ELSE 1 - e END) AS a, log10(CASE WHEN other THEN 1 - e ELSE e / 3 END) AS z FROM e)"
 )
 
 
@@ -204,12 +204,12 @@ def genotype_lod(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _GENO + ", s AS (SELECT contig, pos, contig_id % 3 = 0 AS normal, sum(a) AS r, sum(log10((pow(10.0, a) + pow(10.0, z)) / 2)) AS h, sum(z) AS m FROM x GROUP BY 1, 2, 3) "
+    _GENO + ", s AS (SELECT contig, pos, read_id % 3 = 0 AS normal, sum(a) AS r, sum(log10((pow(10.0, a) + pow(10.0, z)) / 2)) AS h, sum(z) AS m FROM x GROUP BY 1, 2, 3) "
     "SELECT t.contig, t.pos, round(greatest(t.h, t.m) - t.r, 4) AS lod_t, round(n.r - n.h, 4) AS lod_n FROM s t JOIN s n ON t.contig = n.contig AND t.pos = n.pos AND n.normal AND NOT t.normal WHERE greatest(t.h, t.m) - t.r >= 3 AND n.r - n.h >= 0.3"
 )
 def somatic_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
-    normal, tumour = (variants.genotype_scores(rows.where(c)) for c in ("contig_id % 3 = 0", "contig_id % 3 <> 0"))
+    normal, tumour = (variants.genotype_scores(rows.where(c)) for c in ("read_id % 3 = 0", "read_id % 3 <> 0"))
     found = variants.somatic(tumour, normal, 3, 0.3)
     return found.select("contig", "pos", F.round("lod_t", 4).alias("lod_t"), F.round("lod_n", 4).alias("lod_n"))
 

@@ -9,7 +9,7 @@ from helixframe.functions import sequence as seqf
 from helixframe.operators import kmers as km
 
 from .registry import query
-from .tables import CONTIGS_SQL, READS_SQL, contigs, kmers_sql, reads
+from .tables import CONTIGS_SQL, DISTINCT_SQL, READS_SQL, contigs, kmers_sql, reads
 
 K = 11
 _READ_KMERS = f"WITH {READS_SQL}, {kmers_sql('reads', 'read_id', K)}"
@@ -164,11 +164,13 @@ def kmer_genome_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {CONTIGS_SQL}, {kmers_sql('contigs', 'contig_id', K)}, own AS (SELECT DISTINCT contig_id, kmer FROM kmers), rare AS (SELECT kmer FROM own GROUP BY kmer HAVING count(*) BETWEEN 2 AND 50) "
-    "SELECT x.contig_id AS a, y.contig_id AS b, count(*) AS n FROM own x JOIN own y USING (kmer) WHERE x.contig_id < y.contig_id AND kmer IN (SELECT kmer FROM rare) GROUP BY 1, 2"
+    f"WITH {READS_SQL}, {DISTINCT_SQL}, {kmers_sql('distinct_reads', 'read_id', 15)}, own AS (SELECT DISTINCT read_id AS r, kmer FROM kmers), c AS (SELECT kmer, count(*) AS n, min(r) AS first FROM own GROUP BY kmer HAVING count(*) > 1), "
+    "x AS (SELECT own.*, n, first FROM own JOIN c USING (kmer)), l AS (SELECT x.r AS a, y.r AS b FROM x JOIN x y ON x.kmer = y.kmer AND x.r < y.r WHERE x.n <= 50 UNION ALL SELECT first, r FROM x WHERE n > 50 AND first < r) "
+    "SELECT a, b, count(*) AS n FROM l GROUP BY 1, 2"
 )
 def kmer_self_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return km.shared_pairs(_ref_kmers(spark, sf_dir), 50, "contig_id")
+    """Between different reads; ``friend_classes`` gives the members of each."""
+    return km.shared_pairs(km.kmerized(km.representatives(reads(spark, sf_dir)), 15), 50)
 
 
 @query(_READ_KMERS + ", n AS (SELECT read_id, count(*) AS n, count(DISTINCT kmer) AS d FROM kmers GROUP BY read_id) SELECT read_id, n, d AS n_distinct FROM n WHERE 2 * d < n")
@@ -193,10 +195,8 @@ def kmer_gapped_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(seqf.shaped_kmer(F.col("seq"), F.col("pos"), "11011011").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    _READ_KMERS + ", occ AS (SELECT kmer, count(*) AS n, count(DISTINCT read_id) AS reads, min(read_id * 100000 + pos) AS first_place FROM kmers GROUP BY kmer HAVING count(*) BETWEEN 2 AND 5) "
-    "SELECT kmer, n, reads, first_place::BIGINT AS first_place FROM occ"
-)
+@query(_READ_KMERS + _COUNTS + " SELECT kmer, kf, read_id, pos::BIGINT AS pos FROM kmers JOIN counts USING (kmer)")
 def kmer_with_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.col("read_id") * 100000 + F.col("pos")
-    return _kmers(spark, sf_dir).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("read_id").alias("reads"), F.min(place).alias("first_place")).where("n BETWEEN 2 AND 5")
+    """Every word with its frequency at each of its places."""
+    rows = km.with_counts(_kmers(spark, sf_dir), "kmer", "read_id")
+    return rows.select("kmer", F.col("n").alias("kf"), "read_id", F.col("pos").cast("long").alias("pos"))

@@ -121,14 +121,11 @@ def pairs_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.valid(pairs(spark, sf_dir), 1.0).select("pair_id", "id1", "id2", "sep")
 
 
-_BUNDLES = _P + ", bundles AS (SELECT least(id1, id2) % 100 AS a, greatest(id1, id2) % 100 + 100 AS b, count(*) AS links, round(avg(sep), 6) AS sep, round(stddev_pop(sep), 6) AS dev FROM pairs WHERE id1 <> id2 GROUP BY 1, 2 HAVING count(*) >= 2)"
+_BUNDLES = _P + ", bundles AS (SELECT least(id1, id2) AS a, greatest(id1, id2) AS b, count(*) AS links, round(avg(sep), 6) AS sep, round(stddev_pop(sep), 6) AS dev FROM pairs WHERE id1 <> id2 GROUP BY 1, 2 HAVING count(*) >= 2)"
 
 
 def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts are folded onto two hundred contigs, so that links bundle."""
-    rows = pairs(spark, sf_dir).where("id1 <> id2")
-    folded = rows.withColumns({"id1": F.pmod(F.least("id1", "id2"), F.lit(100)), "id2": F.pmod(F.greatest("id1", "id2"), F.lit(100)) + 100})
-    return pairing.link_bundles(folded, 2)
+    return pairing.link_bundles(pairs(spark, sf_dir), 2)
 
 
 @query(_BUNDLES + " SELECT * FROM bundles")

@@ -59,6 +59,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SEQ = f"translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}')"
 READS_SQL = f"reads AS (SELECT doc_id AS read_id, {_SEQ} AS seq FROM documents)"
+DISTINCT_SQL = "distinct_reads AS (SELECT min(read_id) AS read_id, seq FROM reads GROUP BY seq)"
 CONTIGS_SQL = f"contigs AS (SELECT item_id AS contig_id, {_SEQ} AS seq FROM benchmark)"
 INTERVALS_SQL = (
     "intervals AS (SELECT event_id AS iv, user_id AS contig, floor(epoch(ts))::BIGINT AS start, "

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import align, graph, intervals, kmers, selection, simulate, variants, windows
+from helixframe.operators import align, correct, graph, intervals, kmers, selection, simulate, variants, windows
 from helixframe.streaming import windows as streams
 
 rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
@@ -174,3 +174,21 @@ def test_stream_and_batch_windows_agree(spark, tmp_path):
     batch = {tuple(r) for r in streams.windowed(events, "1 day").collect()}
     closed = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert closed and closed <= batch
+
+
+def test_frequent_words_link_by_a_star_and_copies_are_one_class(spark):
+    word = "ACGTTGCA"
+    seqs = [(i, word) for i in range(1, 4)] + [(i, "C" * (i - 3) + word) for i in range(4, 9)] + [(20, None), (21, ""), (22, "AC")]
+    rows = spark.createDataFrame(seqs, "read_id long, seq string").withColumn("pos", F.lit("extra"))
+    made = {(r.read_id, r.class_id) for r in kmers.classes(rows).collect()}
+    assert made == {(1, 1), (2, 1), (3, 1), *((i, i) for i in (4, 5, 6, 7, 8, 20, 21, 22))}
+    found = {(r.a, r.b, r.offset, r.n) for r in correct.friends(rows, 8, 3, 1).collect()}
+    # The word itself is in six different reads, so it is a star; "CACGTTGC" and what else recurs is in at most five.
+    stars = {(a, b) for a, b, _, _ in found if a == 1}
+    assert stars == {(1, b) for b in range(4, 9)}
+    joined = {frozenset((a, b)) for a, b, _, _ in found}
+    whole = correct.friends(rows, 8, 100, 1)
+    assert joined <= {frozenset((r.a, r.b)) for r in whole.collect()} and whole.count() == 15
+    assert correct.friends(rows.limit(0), 8, 3, 1).count() == 0 and kmers.classes(rows.limit(0)).count() == 0
+    pairs = {(r.a, r.b): r.n for r in kmers.shared_pairs(kmers.kmerized(rows, 8), 2).collect()}
+    assert {(1, b) for b in range(2, 9)} <= set(pairs)
