@@ -76,14 +76,15 @@ def unitigs(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     if not circles.isEmpty():
         broken = links.join(circles.where("node = low").select(F.col("node").alias("dst")), "dst", "left_anti")
         kept = nodes.join(circles.select("node"), "node", "left_semi")
-        extra = _chains(kept, broken.join(kept.select(F.col("node").alias("dst")), "dst", "left_semi"), max_rounds)
-        chains = state.where("done").select("node", F.col("up").alias("head"), "d").unionByName(extra)
+        extra = chains(kept, broken.join(kept.select(F.col("node").alias("dst")), "dst", "left_semi"), max_rounds)
+        placed = state.where("done").select("node", F.col("up").alias("head"), "d").unionByName(extra)
     else:
-        chains = state.select("node", F.col("up").alias("head"), "d")
-    return _spelled(chains)
+        placed = state.select("node", F.col("up").alias("head"), "d")
+    return _spelled(placed)
 
 
-def _chains(nodes: DataFrame, links: DataFrame, max_rounds: int) -> DataFrame:
+def chains(nodes: DataFrame, links: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """node, head, d: the first node of its chain and the steps from there; links (src, dst) form no circle."""
     back = nodes.join(links.select(F.col("dst").alias("node"), F.col("src").alias("up")), "node", "left")
     state = cut(back.select("node", F.coalesce("up", "node").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("d")))
     for _ in range(max_rounds):
