@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.operators import align, graph, learning, simulate, variants
+from helixframe.operators import align, graph, learning, packed, simulate, variants
 from helixframe.operators.kmers import kmerized
 from helixframe.streaming import windows as streams
 
@@ -164,9 +164,7 @@ def stack_fishy_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT read_id, pos, base, winner FROM j WHERE winner <> base AND best >= 20 AND best >= 2 * own"
 )
 def stack_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stacks(spark, sf_dir)
-    fixes = variants.recommended(rows, variants.stack_columns(rows), 20, 2)
-    return fixes.select("read_id", F.col("pos").cast("long").alias("pos"), "base", "winner")
+    return packed.recommended(reads(spark, sf_dir), _FLANK, 20, 2)
 
 
 _BASES = f"WITH {READS_SQL}, b AS (SELECT read_id % 4 AS contig, pos, substr(seq, pos::BIGINT, 1) AS base, read_id FROM (SELECT read_id, seq, unnest(range(1, length(seq) + 1)) AS pos FROM reads))"
