@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as seqf
 from helixframe.operators import kmers as km
+from helixframe.operators import packed
 
 from .registry import query
 from .tables import CONTIGS_SQL, DISTINCT_SQL, READS_SQL, contigs, kmers_sql, reads
@@ -198,5 +199,4 @@ def kmer_gapped_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_READ_KMERS + _COUNTS + " SELECT kmer, kf, read_id, pos::BIGINT AS pos FROM kmers JOIN counts USING (kmer)")
 def kmer_with_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word with its frequency at each of its places."""
-    rows = km.with_counts(_kmers(spark, sf_dir), "kmer", "read_id")
-    return rows.select("kmer", F.col("n").alias("kf"), "read_id", F.col("pos").cast("long").alias("pos"))
+    return packed.located(reads(spark, sf_dir), K)
