@@ -88,6 +88,6 @@ def moved(df):
     return "Generate explode" in plan
 
 
-@pytest.mark.parametrize("name", ["stack_recommend", "weak_stretches", "kmer_with_locations"])
+@pytest.mark.parametrize("name", ["stack_recommend", "trusted_kmer_fix", "weak_stretches", "kmer_with_locations"])
 def test_no_word_is_a_row_of_a_shuffle(spark, name):
     assert not moved(plans.QUERIES[name](spark, "/root/testdata/sf0.001"))
