@@ -66,9 +66,11 @@ def neighbours(words: DataFrame, k: int) -> DataFrame:
 def words_in_reads(words: DataFrame, seqs: DataFrame, k: int, key: str) -> DataFrame:
     """word, rc, n, n_reads: places of each word (k letters) and of its reverse complement in all sequences.
 
-    Sequences' words are counted by read before they meet the list."""
+    The list must fit a broadcast, so that only words on it are rows of a shuffle; those are
+    counted by read first."""
     both = words.select("word", F.col("word").alias("fwd"), F.lit(False).alias("rc")).unionAll(words.select("word", reverse_complement(F.col("word")), F.lit(True)))
-    per_read = kmerized(seqs, k, key).groupBy("fwd", key).agg(F.count(F.lit(1)).alias("n"))
+    found = kmerized(seqs, k, key).join(F.broadcast(both.select("fwd").distinct()), "fwd", "left_semi")
+    per_read = found.groupBy("fwd", key).agg(F.count(F.lit(1)).alias("n"))
     return per_read.groupBy("fwd").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_reads")).join(both, "fwd").select("word", "rc", "n", "n_reads")
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe import plans
-from helixframe.operators import correct, kmers, packed, variants
+from helixframe.operators import correct, inspect, kmers, packed, variants
 
 rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
 
@@ -91,3 +91,13 @@ def moved(df):
 @pytest.mark.parametrize("name", ["stack_recommend", "trusted_kmer_fix", "weak_stretches", "kmer_with_locations"])
 def test_no_word_is_a_row_of_a_shuffle(spark, name):
     assert not moved(plans.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_words_meet_the_list_before_the_shuffle(spark):
+    found = plans.QUERIES["count_in_reads"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = {name: next(i for i, line in enumerate(plan) if name in line) for name in ("Join LeftSemi", "Generate explode")}
+    assert depth["Join LeftSemi"] < depth["Generate explode"] and "strategy=broadcast" in plan[depth["Join LeftSemi"]]
+    words = spark.createDataFrame([("ACGT",), ("AAAC",), ("CCCC",)], "word string")
+    rows = spark.createDataFrame([(1, "ACGTACGT"), (2, "GTTT"), (3, None)], "read_id long, seq string")
+    assert {tuple(r) for r in inspect.words_in_reads(words, rows, 4, "read_id").collect()} == {("ACGT", False, 2, 1), ("ACGT", True, 2, 1), ("AAAC", True, 1, 1)}
