@@ -126,7 +126,7 @@ _PER_READ = _READ_KMERS + _COUNTS + ", per AS (SELECT read_id, count(*) AS n, mi
 
 @query(_PER_READ + " SELECT * FROM per")
 def kmer_read_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return km.per_read(_kmers(spark, sf_dir))
+    return packed.per_read(reads(spark, sf_dir), K)
 
 
 @query(_PER_READ + " SELECT read_id FROM per WHERE min_kf >= 2")
