@@ -132,7 +132,7 @@ def kmer_read_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PER_READ + " SELECT read_id FROM per WHERE min_kf >= 2")
 def kmer_read_min_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads all of whose words recur."""
-    return km.per_read(_kmers(spark, sf_dir)).where("min_kf >= 2").select("read_id")
+    return packed.per_read(reads(spark, sf_dir), K).where("min_kf >= 2").select("read_id")
 
 
 @query(_READ_KMERS + _COUNTS + " SELECT read_id, count(*) AS n_unique FROM kmers JOIN counts USING (kmer) WHERE kf = 1 GROUP BY read_id")

@@ -88,7 +88,7 @@ def moved(df):
     return "Generate explode" in plan
 
 
-@pytest.mark.parametrize("name", ["stack_recommend", "kmer_read_frequencies", "trusted_kmer_fix", "weak_stretches", "kmer_with_locations"])
+@pytest.mark.parametrize("name", ["stack_recommend", "kmer_read_min_freq", "kmer_read_frequencies", "trusted_kmer_fix", "weak_stretches", "kmer_with_locations"])
 def test_no_word_is_a_row_of_a_shuffle(spark, name):
     assert not moved(plans.QUERIES[name](spark, "/root/testdata/sf0.001"))
 
