@@ -101,3 +101,18 @@ def test_words_meet_the_list_before_the_shuffle(spark):
     words = spark.createDataFrame([("ACGT",), ("AAAC",), ("CCCC",)], "word string")
     rows = spark.createDataFrame([(1, "ACGTACGT"), (2, "GTTT"), (3, None)], "read_id long, seq string")
     assert {tuple(r) for r in inspect.words_in_reads(words, rows, 4, "read_id").collect()} == {("ACGT", False, 2, 1), ("ACGT", True, 2, 1), ("AAAC", True, 1, 1)}
+
+
+@pytest.mark.parametrize("k", [1, 8, 15])
+def test_numbered_words_are_the_words(spark, k):
+    rows = made(spark, 4)
+    code = lambda c: F.conv(F.translate(c, "ACGT", "0123"), 4, 10).cast("int")
+    for both, column in ((False, "fwd"), (True, "kmer")):
+        same(packed.numbered_words(rows, k, both=both), kmers.kmerized(rows, k).select(code(column).alias("word"), "read_id", "pos"))
+
+
+@pytest.mark.parametrize("name", ["friends", "kmer_self_similarity"])
+def test_linked_words_are_numbers(spark, name):
+    found = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow numbers" in plan and "AS fwd" not in plan and found.count() > 0
