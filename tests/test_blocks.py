@@ -75,7 +75,16 @@ def test_a_step_may_end_within_a_row(spark):
     assert dict(found.groupBy("n").count().collect()) == whole
 
 
-@pytest.mark.parametrize("name", ["kmer_self_similarity"])
+@pytest.mark.parametrize(("k", "most"), [(4, 3), (4, 30), (7, 2), (7, 50)])
+def test_diagonals_of_blocks(spark, many_blocks, k, most):
+    rows = made(spark)
+    links = kmers.word_links(kmers.kmerized(rows, k).select("read_id", "pos", "fwd"), "fwd", most, "read_id")
+    whole = rows_of(correct.on_diagonals(links, 1))
+    assert rows_of(blocks.on_diagonals(rows, k, most)) == whole and len(whole) > 100
+    assert not rows_of(blocks.on_diagonals(rows.limit(0), k, most))
+
+
+@pytest.mark.parametrize("name", ["friends", "kmer_self_similarity"])
 def test_no_link_is_a_row_of_a_shuffle(spark, name):
     found = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
